@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .labelled import labelled_sample, remainder
 
@@ -145,7 +146,7 @@ def apply_scores(docs: DataFrame, make, folds: int, held_out: int, threshold: fl
     """make() gives a worker its function from texts to scores."""
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     rows = docs.select(*kept)
-    schema = rows.schema.add("score", "double")
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
     at = kept.index("text")
 
     def run(batches):
