@@ -20,6 +20,7 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NONE = 1 << 30  # the rank of a pair that doesn't merge
 #: Characters of text whose new pieces are replayed together, and encoded pieces that a worker keeps: both bound memory.
@@ -183,11 +184,11 @@ class Encoder:
         return [i for p in places for i in self.ids[p]]
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
     """Encode every whole text and decode the ids again.
 
     Returns a row for each row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of
-    the decoded bytes); with with_ids also ids (array<int>) and decoded (string).  Null and empty texts have no tokens.
+    the decoded bytes); with with_ids also ids (array<int>), with with_decoded also decoded (string).  Null and empty texts have no tokens.
     No string is special.  Columns other than the two named are ignored; repeated rows give repeated rows.
 
     ranks_path is read by the driver; its content (under 1 MB for 50,000 tokens) goes to the executors with the plan.
@@ -197,13 +198,15 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     schema = rows.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if with_ids:
-        schema = schema.add("ids", "array<int>").add("decoded", "string")
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    if with_decoded:
+        schema = schema.add("decoded", "string")
 
     def run(batches):
         encoder = Encoder(_cached(content.value), pattern)
         for batch in batches:
             for part in _blocks(batch):
-                yield _encode_batch(encoder, part, with_ids)
+                yield _encode_batch(encoder, part, with_ids, with_decoded)
 
     return rows.mapInArrow(run, schema)
 
@@ -230,7 +233,7 @@ def _blocks(batch: pa.RecordBatch):
             yield batch.slice(a, b - a)
 
 
-def _encode_batch(encoder: Encoder, batch: pa.RecordBatch, with_ids: bool) -> pa.RecordBatch:
+def _encode_batch(encoder: Encoder, batch: pa.RecordBatch, with_ids: bool = False, with_decoded: bool = False) -> pa.RecordBatch:
     texts = batch.column(1).to_pylist()
     found = encoder.encode_block(texts)
     counts, said, decoded = np.array(encoder.counts, dtype=np.int64), encoder.said, encoder.decoded
@@ -243,10 +246,14 @@ def _encode_batch(encoder: Encoder, batch: pa.RecordBatch, with_ids: bool) -> pa
         decoded_sha.append(hashlib.sha256(raw).hexdigest())
         if with_ids:
             ids.append(encoder.tokens(places))
+        if with_decoded:
             back.append(raw.decode("utf-8", "replace"))
     columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     if with_ids:
-        columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())]
-        names += ["ids", "decoded"]
+        columns.append(pa.array(ids, pa.list_(pa.int32())))
+        names.append("ids")
+    if with_decoded:
+        columns.append(pa.array(back, pa.string()))
+        names.append("decoded")
     return pa.RecordBatch.from_arrays(columns, names)

@@ -22,7 +22,7 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, seed: int = 17) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 20_000, seed: int = 17, carry: bool = False) -> DataFrame:
     """Group rows whose normalised texts are identical.
 
     Returns a row for each input row: doc_id, keep_id (the row that stays: the most code points in the original text,
@@ -31,14 +31,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null texts are empty texts and form one group with them.  A row without an id is kept only in a group where no row
     of that length has one.  Of repeated rows (same id, same text) one is kept, the others carry kept = false.
     Columns other than the two named are ignored, whatever they are called.  An empty table gives an empty result.
+    With carry, a struct _row holds all of the input's columns as well.
 
     sample_rows bounds the rows from which hot texts are estimated (50 for each shuffle partition at least); they decide
     only how work is dealt out, never the result.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    keyed = _keyed(rows)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *[F.struct(*docs.columns).alias("_row")] * carry)
+    keyed = _keyed(rows, carry)
     hot = _hot(rows, n, max(sample_rows, 50 * n), seed)
     if hot:
         salts = spark.createDataFrame(hot, "text_sha256 string, _salts int")  # at most 4 n rows, see _hot
@@ -47,11 +48,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keyed = keyed.withColumn("_salt", F.lit(-1))
 
     # Ranges over (prefix, digest, salt) keep a run in one range, so the windows need no further exchange.
-    ranged = keyed.repartitionByRange("_prefix", "text_sha256", "_salt")
-    run = Window.partitionBy("_prefix", "text_sha256", "_salt", "_norm")
+    key = ["_prefix", "text_sha256", "_salt"]
+    ranged = keyed.repartitionByRange(*key)
+    if carry:  # the original text has moved; normalising it again is cheaper than moving both
+        ranged = ranged.withColumn("_norm", normalised(F.col(f"_row.`{text_col}`")))
+    run = Window.partitionBy(*key, "_norm")
     sorted_run = run.orderBy("_rank")
     found = ranged.select(
-        "doc_id", "_rank", "_norm", "_salt", "text_sha256",
+        "doc_id", "_rank", "_norm", *key[1:], *["_row"] * carry,
         F.first("_rank").over(sorted_run).alias("_best"),
         F.count(F.lit(1)).over(run).alias("_size"),
         F.row_number().over(sorted_run).alias("_at"),
@@ -60,17 +64,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         heads = found.filter((F.col("_salt") >= 0) & (F.col("_at") == 1))
         merged = heads.groupBy("text_sha256", "_norm").agg(F.min("_best").alias("_all_best"), F.sum("_size").alias("_all_size")).drop("_norm")
         found = found.drop("_norm").join(F.broadcast(merged), "text_sha256", "left").withColumns({"_best": F.coalesce("_all_best", "_best"), "_size": F.coalesce("_all_size", "_size")})
-    return found.select("doc_id", F.col("_best.id").alias("keep_id"), F.col("_size").alias("group_size"), ((F.col("_at") == 1) & (F.col("_rank") == F.col("_best"))).alias("kept"), "text_sha256")
+    return found.select("doc_id", F.col("_best.id").alias("keep_id"), F.col("_size").alias("group_size"), ((F.col("_at") == 1) & (F.col("_rank") == F.col("_best"))).alias("kept"), "text_sha256", *["_row"] * carry)
 
 
-def _keyed(rows: DataFrame) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that exact_dedup keeps, with all their columns."""
+    return exact_dedup(docs, id_col, text_col, carry=True).filter("kept").select("_row.*")
+
+
+def _keyed(rows: DataFrame, carry: bool) -> DataFrame:
     """_rank orders the rows of a group: longer originals first, then smaller ids, rows without an id last."""
     norm = normalised(F.col("_text"))
-    return rows.select(
+    keyed = rows.select(
         "doc_id",
         F.struct((-F.coalesce(F.char_length("_text"), F.lit(0))).alias("shorter"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")).alias("_rank"),
         norm.alias("_norm"),
+        *["_row"] * carry,
     ).select("*", F.substring("_norm", 1, PREFIX_CHARS).alias("_prefix"), F.sha2(F.col("_norm").cast("binary"), 256).alias("text_sha256"))
+    return keyed.drop("_norm") if carry else keyed
 
 
 def _hot(rows: DataFrame, n: int, sample_rows: int, seed: int) -> list[tuple[str, int]]:

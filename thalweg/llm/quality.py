@@ -137,6 +137,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
     return apply_scores(docs, lambda: _scorer(weights, bias), folds, held_out, threshold)
 
 
+def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that the classifier accepts, with all their columns."""
+    return quality_scores(docs, labels).filter("predicted = 1").select(*docs.columns)
+
+
 def _scorer(weights: np.ndarray, bias: float):
     cache = _Tokens()
     return lambda texts: [score(t, weights, bias, cache) for t in texts]

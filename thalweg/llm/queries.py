@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, quality, simhash, substring, toxicity, url_filter
+from . import bpe, chat, decontam, exact_dedup, quality, sharding, simhash, substring, toxicity, url_filter
 from .common import read
+from .decontam_sql import OP9_SQL
 
 #: (verdict, host/path)
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
@@ -45,8 +46,20 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_simhash, op4_toxicity, op5_quality, op6_substring_dedup, op7_bpe)
+    f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_simhash, op4_toxicity, op5_quality, op6_substring_dedup, op7_bpe, op8_chat_format, op9_decontaminate, op10_sharding)
 }
 
 OP1_SQL = r"""
@@ -79,4 +92,4 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (k)
 """
 
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL}
+ORACLE_SQL = {"op9_decontaminate": OP9_SQL, "op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL}

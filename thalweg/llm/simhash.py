@@ -131,6 +131,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return _components(rows, distance)
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3, distance: int = 2) -> DataFrame:
+    """One row of each component, the one with the smallest doc_id, with all its columns.
+
+    Rows that share an id share its fate; a row without id stays.
+    """
+    found = simhash_components(docs, id_col, text_col, ngram, distance)
+    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, docs[id_col] == dropped["_dropped"], "left_anti")
+
+
 def _components(rows: DataFrame, distance: int) -> DataFrame:
     distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
     roots = connected_components(links(distinct, "fp", distance))
