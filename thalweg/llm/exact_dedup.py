@@ -44,11 +44,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if hot:
         salts = spark.createDataFrame(hot, "text_sha256 string, _salts int")  # at most 4 n rows, see _hot
         keyed = keyed.join(F.broadcast(salts), "text_sha256", "left").withColumn("_salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("_salts")).cast("int")).otherwise(-1)).drop("_salts")
-    else:
-        keyed = keyed.withColumn("_salt", F.lit(-1))
 
     # Ranges over (prefix, digest, salt) keep a run in one range, so the windows need no further exchange.
-    key = ["_prefix", "text_sha256", "_salt"]
+    key = ["_prefix", "text_sha256", *["_salt"] * bool(hot)]
     ranged = keyed.repartitionByRange(*key)
     if carry:  # the original text has moved; normalising it again is cheaper than moving both
         ranged = ranged.withColumn("_norm", normalised(F.col(f"_row.`{text_col}`")))
