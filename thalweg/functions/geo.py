@@ -36,8 +36,9 @@ def distance(x1, y1, x2, y2) -> Column:
 def angle_between(ax, ay, bx, by) -> Column:
     """Degrees between two vectors; NULL if one is shorter than EPSILON."""
     a, b = F.sqrt(ax * ax + ay * ay), F.sqrt(bx * bx + by * by)
-    cosine = (ax * bx + ay * by) / F.when((a >= EPSILON) & (b >= EPSILON), a * b)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    long = (a >= EPSILON) & (b >= EPSILON)
+    cosine = (ax * bx + ay * by) / F.when(long, a * b)
+    return F.when(long, F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))  # greatest and least pass over NULL
 
 
 def azimuth(dx, dy) -> Column:
