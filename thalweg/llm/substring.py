@@ -29,7 +29,7 @@ WINDOW = 20
 #: Bits of a block's hash that are compared: a hit only makes windows candidates, so a chance collision costs, but changes nothing.
 HASH_BITS = 52
 #: Bytes of text that a worker takes at a time, words of the corpus for each packed part, words that a worker keeps hashes of.
-SLICE_BYTES, PART_WORDS, CACHE = 8_000_000, 2_000_000, 400_000
+SLICE_BYTES, PART_WORDS, CACHE = 4_000_000, 2_000_000, 250_000
 ALL = -1  # as a start: the whole document is a copy
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -205,8 +205,8 @@ def _candidate_windows(batches, window: int, block: int, parts: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["part", "first", "second", "docs", "starts"])
 
 
-def _later_windows(table: pa.Table) -> pa.Table:
-    """(doc_id, starts) of windows that stand earlier as well."""
+def _later_windows(table: pa.Table, parts: int) -> pa.Table:
+    """Windows that stand earlier as well, packed by a hash of their documents: (part, docs, starts)."""
     columns = {n: table.column(n).to_pylist() for n in table.column_names}
     own = [x is not None for x in columns["first"]]
     take = lambda n, keep, read=unpack: np.concatenate([read(x) for x, k in zip(columns[n], own, strict=True) if k == keep] or [np.zeros(0, dtype=np.uint64)])
@@ -215,9 +215,21 @@ def _later_windows(table: pa.Table) -> pa.Table:
     first, second, doc, place = first[order], second[order], doc[order], place[order]
     again = np.concatenate(([False], (first[1:] == first[:-1]) & (second[1:] == second[:-1])))[: len(first)]
     doc, place = np.concatenate((doc[again], _ids(take("docs", False)))), np.concatenate((place[again], take("starts", False)))
-    order = np.argsort(doc, kind="stable")
+    of = (_mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((place, doc, of))
+    doc, place, of = doc[order], place[order], of[order]
+    cuts = np.searchsorted(of, np.arange(parts + 1))
+    rows = [(p, pack(_signed(doc[a:b])), pack(place[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("part", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary())))})
+
+
+def _of_documents(table: pa.Table) -> pa.Table:
+    """(doc_id, starts): all later windows of each document of a part."""
+    doc, place = (np.concatenate([unpack(x) for x in table.column(n).to_pylist()]) for n in ("docs", "starts"))
+    doc = _ids(doc)
+    order = np.lexsort((place, doc))
     doc, place = doc[order], place[order].astype(np.int32)
-    cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, dtype=np.int64)
+    cuts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     starts = pa.ListArray.from_arrays(pa.array(np.concatenate((cuts, [len(doc)])), pa.int32()), pa.array(place, pa.int32()))
     return pa.table({"doc_id": pa.array(doc[cuts], pa.int64()), "starts": starts.cast(pa.list_(pa.int32()))})
 
@@ -284,8 +296,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Both joins with the texts deal them out by doc_id in the same way, so the second reuses the first one's exchange.
     windows = named.join(of_doc, "doc_id").select("doc_id", "text", "blocks").mapInArrow(lambda b: _candidate_windows(b, window, block, parts), "part int, first binary, second binary, docs binary, starts binary")
-    later = windows.groupBy("part").applyInArrow(_later_windows, "doc_id long, starts array<int>")
-    removed = later.union(copies.select("doc_id", F.array(F.lit(ALL)).alias("starts"))).groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    later = windows.groupBy("part").applyInArrow(lambda t: _later_windows(t, parts), "part int, docs binary, starts binary")
+    removed = later.groupBy("part").applyInArrow(_of_documents, "doc_id long, starts array<int>").union(copies.select("doc_id", F.array(F.lit(ALL)).alias("starts")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     judged = named.join(removed, "doc_id", "left").select("doc_id", "text", "starts")
     unnamed = rows.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
