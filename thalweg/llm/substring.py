@@ -119,6 +119,15 @@ def _layout(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, at, sizes[text] - at
 
 
+def _first_and_later(first: np.ndarray, second: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted windows: the first of each digest, and those at other places than it."""
+    if not len(first):
+        return np.zeros(0, dtype=bool), np.zeros(0, dtype=bool)
+    lead = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+    of = np.maximum.accumulate(np.where(lead, np.arange(len(first)), 0))
+    return lead, (doc != doc[of]) | (place != place[of])
+
+
 def _documents(batches):
     """(doc_id, n_words, digest of the word sequence)"""
     for part in _slices(batches):
@@ -188,14 +197,13 @@ def _candidate_windows(batches, window: int, block: int, parts: int):
         doc, place = ids[text[start]], at[start]
         order = np.lexsort((place, doc, second, first))
         first, second, doc, place = first[order], second[order], doc[order], place[order]
-        again = np.concatenate(([False], (first[1:] == first[:-1]) & (second[1:] == second[:-1])))
+        lead, again = _first_and_later(first, second, doc, place)
         rows = []
         if again.any():
             of = (_mix(doc[again].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
             for p in np.unique(of).tolist():
                 here = of == p
                 rows.append((p, None, None, pack(_signed(doc[again][here])), pack(place[again][here])))
-        lead = ~again
         first, second, doc, place = first[lead], second[lead], doc[lead], place[lead]
         cuts = np.searchsorted(_part(first, 64, parts), np.arange(parts + 1))
         for p in range(parts):
@@ -213,7 +221,7 @@ def _later_windows(table: pa.Table, parts: int) -> pa.Table:
     first, second, doc, place = take("first", True, _unpack_sorted), take("second", True), _ids(take("docs", True)), take("starts", True)
     order = np.lexsort((place, doc, second, first))
     first, second, doc, place = first[order], second[order], doc[order], place[order]
-    again = np.concatenate(([False], (first[1:] == first[:-1]) & (second[1:] == second[:-1])))[: len(first)]
+    again = _first_and_later(first, second, doc, place)[1]
     doc, place = np.concatenate((doc[again], _ids(take("docs", False)))), np.concatenate((place[again], take("starts", False)))
     of = (_mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((place, doc, of))
