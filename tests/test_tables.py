@@ -237,3 +237,33 @@ def test_arrivals(spark, tmp_path):
     cells.write.parquet(source)
     process_arrivals(spark, source, str(tmp_path / "out"), str(tmp_path / "cp"), grid.grid_stats).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["n_rows"] == 20
+
+
+def test_enrichment_command(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    (tmp_path / "inyo.tif").write_bytes(tiff(rng.random((40, 40))))
+    found = cli.couple(spark, str(tmp_path / "inyo.tif"), 3, 8, None, None)
+    pairs = found.select(F.lit("inyo").alias("basin"), "outlet", "confluence", "head_1", "head_2", F.lit(2.0).alias("L_1"), F.lit(3.0).alias("L_2"), F.lit(36.7).alias("lat"), F.lit(0.0).alias("z_th"), F.lit("").alias("qc_flags"))
+    lost = pairs.limit(1).withColumn("basin", F.lit("nowhere"))
+    files.write_results(pairs.union(lost), str(tmp_path / "in"))
+    assert cli.enrich_main(["--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--rasters", str(tmp_path), "--threshold", "3"]) == 0
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert back.count() == found.count() + 1 and back.filter("basin = 'nowhere' and qc_flags = 'missing_stream'").count() == 1
+    assert back.filter("basin = 'inyo' and headhead_dist_norm is not null").count() == found.count()
+
+
+def test_saved_models_and_reports(spark, tmp_path):
+    from thalweg.operators import ml
+
+    df = spark.range(200).select((F.col("id") % 4).cast("string").alias("basin"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 + F.rand(1) * 0.5).alias("a"), F.when(F.col("id") % 7 == 0, None).otherwise(F.rand(2)).alias("b"))
+    model = ml.fit_trees(df, ["a", "b"], rounds=3, depth=2)
+    ml.save_model(model, str(tmp_path / "m"), ["a", "b"], 0.4)
+    again, features, threshold = ml.load_model(str(tmp_path / "m"))
+    assert features == ["a", "b"] and threshold == 0.4
+    scored = ml.predict(again, df, features)
+    assert stats.roc_auc(scored).first()["auc"] > 0.95 and ml.importances(again, features)[0][0] == "a"
+    report = ml.group_metrics(scored, least=10).collect()
+    assert len(report) == 4 and {r["auc"] for r in report} == {None}
+    assert len(ml.random_grid({"x": [1, 2, 3], "z": [1, 2]}, 4)) == 4
+    runs = spark.createDataFrame([("a", None, 5), ("b", "no raster", None)], "basin string, error string, n_pairs int")
+    assert tuple(stats.failures(runs).first()) == (1, 1, 5)

@@ -6,6 +6,7 @@ import argparse
 import logging
 import os
 import sys
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,11 @@ PAIR_SCHEMA = "basin string, outlet long, confluence long, head_1 long, head_2 l
 
 def set_up_logging(verbose: bool) -> None:
     """To standard error, or the file in THALWEG_LOG_FILE; the level from THALWEG_LOG_LEVEL unless verbose."""
-    level = "DEBUG" if verbose else os.environ.get("THALWEG_LOG_LEVEL", "INFO")
-    logging.basicConfig(level=level, filename=os.environ.get("THALWEG_LOG_FILE"), format="%(asctime)s %(levelname)s %(message)s", force=True)
+    path = os.environ.get("THALWEG_LOG_FILE")
+    handler = logging.FileHandler(path) if path else logging.StreamHandler()
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.handlers = [handler]
+    log.setLevel("DEBUG" if verbose else os.environ.get("THALWEG_LOG_LEVEL", "INFO"))
 
 
 def raster_cells(spark: SparkSession, path: str, mask_below: float | None = None) -> tuple[DataFrame, int]:
@@ -55,6 +59,47 @@ def enrich(df: DataFrame, networks: dict[str, network.Network], direction_m: flo
     return labels.mark_missing_stream(out, known)
 
 
+def load_networks(names: list[str], loader: Callable[[str], network.Network | None]) -> dict[str, network.Network]:
+    """Networks of the basins that a loader finds; one that fails or returns None is logged and left out."""
+    found = {}
+    for name in names:
+        try:
+            net = loader(name)
+        except Exception:
+            log.exception("basin %s could not be loaded", name)
+            net = None
+        if net is not None:
+            found[name] = net
+    return found
+
+
+def enrich_main(argv: list[str] | None = None) -> int:
+    """Add geometric features to a CSV of pairs, from rasters <basin>.tif in a folder."""
+    parser = argparse.ArgumentParser(prog="thalweg-enrich", description="Geometric features for pairs of stream heads")
+    parser.add_argument("--input", required=True)
+    parser.add_argument("--output", required=True)
+    parser.add_argument("--rasters", required=True)
+    parser.add_argument("--threshold", type=int, default=300)
+    parser.add_argument("-v", "--verbose", action="store_true")
+    args = parser.parse_args(argv)
+    set_up_logging(args.verbose)
+    try:
+        spark = SparkSession.builder.getOrCreate()
+        rows = files.read_results(spark, args.input, PAIR_SCHEMA)
+        names = [r[0] for r in rows.select("basin").dropna().distinct().collect()]
+
+        def loader(name: str) -> network.Network:
+            cells, ncols = raster_cells(spark, f"{args.rasters}/{name}.tif")
+            cells = materialize(cells.filter(F.col("z").isNotNull()).withColumn("basin", F.lit(name)))
+            return network.stream_network(cells, materialize(grid.flow_directions(cells, ncols)), args.threshold)
+
+        files.write_results(enrich(rows, load_networks(names, loader)), args.output)
+        return 0
+    except Exception:
+        log.exception("failed")
+        return 1
+
+
 def main(argv: list[str] | None = None) -> int:
     """0: done; 1: no such raster, or a failure; 2: no pairs."""
     parser = argparse.ArgumentParser(prog="thalweg", description="Coupling of stream heads in a raster")

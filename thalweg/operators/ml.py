@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import stats
@@ -87,3 +87,15 @@ def group_metrics(scored: DataFrame, group: str = "basin", least: int = 10, thre
     large = scored.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
     rows = scored.join(large.select(group), group, "left_semi")
     return stats.confusion(rows, threshold, [group]).join(stats.roc_auc(rows, [group]), group).join(large, group)
+
+
+def save_model(model: PipelineModel, path: str, features: list[str], threshold: float) -> None:
+    """The model, and beside it a row with its features and the threshold of a positive."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame([(features, threshold)], "features array<string>, threshold double").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+
+def load_model(path: str) -> tuple[PipelineModel, list[str], float]:
+    row = SparkSession.active().read.schema("features array<string>, threshold double").json(f"{path}/settings").first()
+    return PipelineModel.load(f"{path}/model"), list(row["features"]), row["threshold"]

@@ -177,3 +177,15 @@ def heads_per_confluence(net: Network, ways: DataFrame) -> DataFrame:
     at = net.nodes.filter("is_confluence").select("basin", F.col("node_id").alias("node"))
     found = ways.join(at, ["basin", "node"], "left_semi").filter("head <> node")
     return found.groupBy("basin", F.col("node").alias("confluence")).agg(F.count(F.lit(1)).alias("n_heads"), F.array_sort(F.collect_list("head")).alias("heads"))
+
+
+def reachable(net: Network, pairs: DataFrame) -> DataFrame:
+    """The pairs (basin, start, target) whose target lies on the start's way downstream; a node reaches itself."""
+    ways = paths(pairs.select("basin", F.col("start").alias("node_id")).distinct(), net.edges)
+    return pairs.join(ways.select("basin", F.col("head").alias("start"), F.col("node").alias("target")), ["basin", "start", "target"], "left_semi")
+
+
+def outlet_view(net: Network, outlets: DataFrame) -> DataFrame:
+    """Edges (basin, outlet, u, v) of the networks of some outlets (basin, outlet), as a plan of them would show."""
+    roots = outlet_of(net).select("basin", F.col("node_id").alias("u"), "outlet")
+    return net.edges.join(roots, ["basin", "u"]).join(outlets, ["basin", "outlet"], "left_semi").select("basin", "outlet", "u", "v")

@@ -36,6 +36,22 @@ def coupling_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("n_not_touching", F.col("n_pairs") - F.col("n_touching"))
 
 
+def basin_summary(coupling: DataFrame, asymmetry: DataFrame) -> DataFrame:
+    """Pairs, touching share and the five numbers of delta_L of each basin."""
+    return coupling_summary(coupling, ["basin"]).join(five_numbers(asymmetry, "delta_L", ["basin"]), "basin", "left")
+
+
+def compare_experiments(df: DataFrame, experiment: str, column: str) -> DataFrame:
+    """Median, quartiles and count of a column by experiment."""
+    return five_numbers(df, column, [experiment]).select(experiment, "median", "p25", "p75", "count")
+
+
+def failures(runs: DataFrame) -> DataFrame:
+    """Of rows (basin, error, n_pairs): how many basins succeeded and failed, and the pairs of those that succeeded."""
+    good = F.col("error").isNull()
+    return runs.agg(F.count_if(good).alias("n_done"), F.count_if(~good).alias("n_failed"), F.coalesce(F.sum(F.when(good, F.col("n_pairs"))), F.lit(0)).alias("n_pairs"))
+
+
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) for all pairs of columns, each over the rows that know both."""
     known = lambda a, b: F.corr(F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double")))

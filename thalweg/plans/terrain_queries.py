@@ -61,7 +61,7 @@ def contributing_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.contributing_area(cells, materialize(grid.flow_directions(cells, NCOLS)))
 
 
-@query([S.CELLS], "SELECT basin, cell_id, cell_id // 64 AS r, cell_id % 64 AS c, 10.0 + 30.0 * (cell_id % 64) AS x, 5000.0 - 30.0 * (cell_id // 64) AS y FROM cells WHERE r % 5 = 0 AND c % 5 = 0")
+@query([S.CELLS], "SELECT basin, cell_id, cell_id // 64 AS r, cell_id % 64 AS c, CAST(10.0 + 30.0 * (cell_id % 64) AS DOUBLE) AS x, CAST(5000.0 - 30.0 * (cell_id // 64) AS DOUBLE) AS y FROM cells WHERE r % 5 = 0 AND c % 5 = 0")
 def grid_world_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = grid.subsample(terrain_cells(spark, sf_dir), 5)
     r, c = grid.unravel(F.col("cell_id"), NCOLS)
@@ -346,6 +346,33 @@ def first_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.first_rows(Pairs(spark, sf_dir).pairs, ["basin"], ["outlet", "confluence", "head_1", "head_2"], 3)
 
 
+@query(S.LAYERS, "SELECT * FROM (SELECT basin, count(*) AS n_pairs, CAST(sum(touching::INT) AS BIGINT) AS n_touching, round(avg(touching::INT), 3) AS touching_rate, CAST(count(*) - sum(touching::INT) AS BIGINT) AS n_not_touching FROM coupling GROUP BY 1) LEFT JOIN (SELECT basin, round(median(delta_L), 6) AS median, round(quantile_cont(delta_L, 0.25), 6) AS p25, round(quantile_cont(delta_L, 0.75), 6) AS p75, round(avg(delta_L), 6) AS mean, round(stddev_pop(delta_L), 6) AS std, count(delta_L) AS count FROM asymmetry GROUP BY 1) USING (basin)")
+def basin_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pairs(spark, sf_dir)
+    return _rounded(stats.basin_summary(p.coupling(), p.asymmetry()))
+
+
+@query(S.LAYERS, "SELECT CAST(part AS INT) AS part, round(median(delta_L), 6) AS median, round(quantile_cont(delta_L, 0.25), 6) AS p25, round(quantile_cont(delta_L, 0.75), 6) AS p75, count(delta_L) AS count FROM (SELECT head_1 % 3 AS part, delta_L FROM asymmetry) GROUP BY 1")
+def experiment_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Pairs(spark, sf_dir).asymmetry().withColumn("part", (F.col("head_1") % 3).cast("int"))
+    return _rounded(stats.compare_experiments(rows, "part", "delta_L"))
+
+
+@query(S.LAYERS, "SELECT DISTINCT basin, head_1 AS start, outlet AS target FROM pairs")
+def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pairs(spark, sf_dir)
+    asked = p.pairs.select("basin", F.col("head_1").alias("start"), F.col("outlet").alias("target")).distinct()
+    back = asked.select("basin", F.col("target").alias("start"), F.col("start").alias("target")).filter("start <> target")
+    return network.reachable(p.t.net, asked.union(back))
+
+
+@query(S.LAYERS, "SELECT e.basin, t.outlet, e.u, e.v FROM edges e JOIN roots t ON t.basin = e.basin AND t.node_id = e.u WHERE t.outlet % 10 = 3")
+def outlet_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = terrain(spark, sf_dir).net
+    chosen = net.nodes.filter("is_outlet").select("basin", F.col("node_id").alias("outlet")).filter("outlet % 10 = 3")
+    return network.outlet_view(net, chosen)
+
+
 # -- what plots show
 
 
