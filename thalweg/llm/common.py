@@ -26,9 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder and read from there, with its lineage cut: a lost executor loses none of it."""
+def checkpoint(df: DataFrame, shrink: int = 1) -> DataFrame:
+    """df, written to the shared folder and read from there, with its lineage cut: a lost executor loses none of it.
+
+    shrink: into how many times fewer files than there are shuffle partitions, for what is much smaller than the corpus.
+    """
     shared_dir(df.sparkSession)
+    if shrink > 1:
+        df = df.coalesce(max(1, partitions(df.sparkSession) // shrink))
     return df.checkpoint(eager=True)
 
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+#: Links are far fewer than documents: their rounds are written to so many times fewer files.
+SHRINK = 8
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node with a link to another; root is the smallest node of its component.
@@ -14,13 +17,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates the large-star and small-star steps, each a minimum over neighbours and a join, until nothing changes;
     every round is checkpointed, so a lost executor never costs more than a round.  Null ends and self-links are dropped.
     """
-    edges = checkpoint(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull()).distinct())
+    edges = checkpoint(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter((F.col(a) != F.col(b)) & F.col(a).isNotNull() & F.col(b).isNotNull()).distinct(), SHRINK)
     seen = None
     while (now := _fingerprint(edges)) != seen:
         seen = now
         if now[0] == 0:
             break
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = checkpoint(_small_star(_large_star(edges)), SHRINK)
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).union(edges.select("v", "v").distinct()).distinct()
 
 
