@@ -187,17 +187,18 @@ LONGS = 5
 WIDE_DISTANCE = 38
 #: Segments are so many bits longer than the logarithm of the number of fingerprints: chance meetings stay few at any size.
 SPARE_BITS = 6
-#: Members before it in its bucket that a member is compared with, besides the first one.
+#: In buckets of up to NEIGHBOURS + 2 members all pairs are compared, in larger ones each member with the first.
 NEIGHBOURS = 3
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of documents with a near copy: a similarity of about 0.8 or more, taken from fingerprints.
 
-    The ten segments of a fingerprint are indexed as they are and with each bit deleted.  Where documents meet, each is
-    compared with the bucket's first member and the three before it, so the rows grow with a bucket, not with its
-    square, and buckets of up to five members give all pairs.  Documents with equal fingerprints count as one.  A pair at 0.8
-    meets in one of the segments with a probability of about 0.9, one at 0.9 with over 0.99; see README.
+    The ten segments of a fingerprint are indexed as they are and with each bit deleted.  Buckets of up to five documents
+    give all pairs; in a larger one each document is compared with the first, so that its rows grow with its size and
+    not with its square, while the 250 or more buckets of a document have different first ones.  Documents with equal
+    fingerprints count as one.  A pair at 0.8 meets in one of the segments with a probability of about 0.9, one at 0.9
+    with over 0.99; see README.
 
     Texts without words are equal.  Rows without an id are left out.  Rows that share an id count as one document.
     """
@@ -232,11 +233,11 @@ def _wide_links(units: DataFrame, names: list[str], width: int) -> DataFrame:
     bucket, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("u")
     first = [F.min(F.when(F.col("bit") == b, F.col("u"))).over(bucket) for b in (False, True)]
     before = [F.lag(F.struct("u", "bit"), k).over(order) for k in range(1, NEIGHBOURS + 1)]
-    met = index.select("key", "u", "bit", first[0].alias("first0"), first[1].alias("first1"), *[b.alias(f"b{k}") for k, b in enumerate(before)])
+    met = index.select("key", "u", "bit", (F.count(F.lit(1)).over(bucket) <= NEIGHBOURS + 2).alias("few"), first[0].alias("first0"), first[1].alias("first1"), *[b.alias(f"b{k}") for k, b in enumerate(before)])
     plain = F.call_function("shiftright", F.col("key"), F.lit(32)) % 64 == 0
     others = F.array(
         F.when(plain, F.col("first0")).when(F.col("bit"), F.col("first0")).otherwise(F.col("first1")),
-        *[F.when(plain | (F.col(f"b{k}.bit") != F.col("bit")), F.col(f"b{k}.u")) for k in range(NEIGHBOURS)],
+        *[F.when(F.col("few") & (plain | (F.col(f"b{k}.bit") != F.col("bit"))), F.col(f"b{k}.u")) for k in range(NEIGHBOURS)],
     )
     pairs = met.select("u", F.explode(F.array_compact(others)).alias("o")).filter("u <> o").select(F.least("u", "o").alias("a"), F.greatest("u", "o").alias("b")).distinct()
     sides = [units.select(F.col("u").alias(x), *[F.col(n).alias(f"{x}_{n}") for n in names]) for x in "ab"]
