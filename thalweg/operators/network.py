@@ -87,16 +87,24 @@ def outlet_of(net: Network) -> DataFrame:
 
 
 def net_roots(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    at = nodes.select("basin", "node_id", F.col("node_id").alias("root"))
-    for _, jumps in doubled(links):
-        # 2**k more steps are taken where they exist; after all rounds every prefix of the path has been tried once.
-        pass_ = at.join(jumps.toDF("basin", "root", "next"), ["basin", "root"], "left").select("basin", "node_id", F.coalesce("next", "root").alias("root"))
-        at = materialize(pass_)
-    # Rounds from small to large skip remainders; a last sweep from large to small ends at the sink.
-    kept = [j for _, j in doubled(links)]
-    for jumps in reversed(kept):
-        at = materialize(at.join(jumps.toDF("basin", "root", "next"), ["basin", "root"], "left").select("basin", "node_id", F.coalesce("next", "root").alias("root")))
-    return at.withColumnRenamed("root", "outlet")
+    """(basin, node_id, outlet): the end of each node's way, by squaring the map from a node to the next one.
+
+    Ends map to themselves, so after k rounds every node knows the one 2**k steps on, or its end.
+    """
+    links = _jumps(links)
+    at = nodes.select("basin", "node_id").join(links.toDF("basin", "node_id", "next"), ["basin", "node_id"], "left").select("basin", "node_id", F.coalesce("next", "node_id").alias("outlet"))
+    at, rounds, size = materialize(at), 0, None
+    while True:
+        ahead = at.select("basin", F.col("node_id").alias("outlet"), F.col("outlet").alias("end"))
+        both = at.join(ahead, ["basin", "outlet"], "left").select("basin", "node_id", F.coalesce("end", "outlet").alias("end"), "outlet")
+        at = materialize(both.select("basin", "node_id", F.col("end").alias("outlet"), (F.col("end") != F.col("outlet")).alias("moved")))
+        moved, at = at.filter("moved").limit(1).count(), at.drop("moved")
+        if not moved:
+            return at
+        rounds += 1
+        size = size or at.count()
+        if 2**rounds > 2 * size:
+            raise ValueError("the links hold a cycle")
 
 
 def paths(starts: DataFrame, links: DataFrame) -> DataFrame:
