@@ -95,6 +95,30 @@ def _counted(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.filter(F.col("score").isNotNull() & F.col("y").isNotNull()).groupBy(*keys, "score").agg(F.sum(F.col("y").cast("long")).alias("p"), F.sum(1 - F.col("y").cast("long")).alias("q"))
 
 
+#: Ranges of the score over which running sums are taken in parallel.
+RANGES = 256
+
+
+def _running(n: DataFrame, keys: list[str]) -> DataFrame:
+    """With the sums over larger scores (own one included) tp, fp, over all scores all_p, all_q.
+
+    Scores are cut at approximate quantiles; windows run inside a range, and the ranges' totals, of which there are
+    RANGES + 1 for each key at most, are added: no task sees all scores. The cuts decide only how work is dealt out.
+    """
+    cuts = n.agg(F.percentile_approx("score", F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), 10_000).alias("_cuts"))
+    n = n.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")  # one row
+    inside = Window.partitionBy(*keys, "_range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    totals = n.groupBy(*keys, "_range").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    above, whole = Window.partitionBy(*keys).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    totals = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0)).alias(f"_above_{c}") for c in "pq"], *[F.sum(f"_{c}").over(whole).alias(f"all_{c}") for c in "pq"])
+    other = totals.toDF(*[f"_{k}" for k in keys], "_of", *totals.columns[len(keys) + 1 :])
+    same = F.col("_range") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    joined = n.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in "pq"}).join(other, same)
+    return joined.select(*keys, "score", "p", "q", (F.col("_in_p") + F.col("_above_p")).alias("tp"), (F.col("_in_q") + F.col("_above_q")).alias("fp"), "all_p", "all_q")
+
+
 def confusion(df: DataFrame, threshold: float = 0.5, keys: list[str] | None = None) -> DataFrame:
     """tp, fp, fn, tn, accuracy, precision, recall, f1; a ratio with nothing below the line is 0."""
     hit, y = F.col("score") >= threshold, F.col("y") == 1
@@ -107,25 +131,24 @@ def confusion(df: DataFrame, threshold: float = 0.5, keys: list[str] | None = No
 def roc_auc(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The share of (positive, negative) pairs in order, ties half; NULL with a single class."""
     keys = keys or []
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    n = _counted(df, keys).withColumn("under", F.coalesce(F.sum("q").over(below), F.lit(0)))
-    return n.groupBy(*keys).agg(F.try_divide(F.sum(F.col("p") * (F.col("under") + F.col("q") / 2)), (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
+    n = _running(_counted(df, keys), keys)
+    won = F.col("p") * (F.col("all_q") - F.col("fp") + F.col("q") / 2)
+    return n.groupBy(*keys).agg(F.try_divide(F.sum(won), (F.sum("p") * F.sum("q")).cast("double")).alias("auc"))
 
 
 def curve(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """A point for each distinct score, from the highest: tp, fp, tpr, fpr, precision, recall."""
+    """A point for each distinct score: tp, fp, tpr, fpr, precision and recall of calling it and all larger ones positive."""
     keys = keys or []
-    down = Window.partitionBy(*keys).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    n = _counted(df, keys).select(*keys, "score", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(whole).alias("all_p"), F.sum("q").over(whole).alias("all_q"))
+    n = _running(_counted(df, keys), keys)
     return n.select(*keys, "score", "tp", "fp", F.try_divide("tp", "all_p").alias("tpr"), F.try_divide("fp", "all_q").alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "all_p").alias("recall"))
 
 
 def average_precision(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The sum of recall steps times precision."""
+    """The sum over scores of the share of positives there times the precision."""
     keys = keys or []
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.partitionBy(*keys).orderBy(F.col("score").desc())), F.lit(0.0))
-    return curve(df, keys).withColumn("part", step * F.col("precision")).groupBy(*keys).agg(F.sum("part").alias("average_precision"))
+    n = _running(_counted(df, keys), keys)
+    part = F.try_divide("p", "all_p") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    return n.groupBy(*keys).agg(F.sum(part).alias("average_precision"))
 
 
 def best_threshold(df: DataFrame, least_recall: float = 0.5, fallback: float = 0.5, keys: list[str] | None = None) -> DataFrame:
