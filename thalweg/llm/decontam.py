@@ -77,7 +77,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kinds = sizes.groupBy("k", "n", F.expr("n = span").alias("whole")).count().collect()  # as many as an item has words at most
     pairs = None
     few = index.count() <= BROADCAST_ROWS
-    for k in sorted({r["k"] for r in kinds}):
+    ks = sorted({r["k"] for r in kinds})
+    for k in ks:
         # A gap in an item's windows shortens the runs that the stride relies on.
         stride = min(_stride(r["n"], similarity) if r["whole"] else 1 for r in kinds if r["k"] == k)
         own = index.filter(F.col("k") == k).select("h", "item_id").distinct()
@@ -85,10 +86,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = probes.join(F.broadcast(own) if few else own, "h").select("doc_id", "item_id").distinct()
         pairs = found if pairs is None else pairs.union(found)
     if pairs is None:
-        return _judge(rows.limit(0), index, window, similarity)
+        return _judge(rows.limit(0), index, [window], similarity)
     ids = checkpoint(pairs.select("doc_id").distinct())
     candidates = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    return _judge(candidates, index, window, similarity, few)
+    return _judge(candidates, index, ks, similarity, few)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,11 +119,11 @@ def _index(benchmark: DataFrame, window: int) -> DataFrame:
     return windows.filter(literal >= F.least(F.lit(LITERALS), F.col("k"))).select("item_id", "k", F.col("at").alias("q"), "h", "words", F.col("values").alias("item_values"))
 
 
-def _judge(candidates: DataFrame, index: DataFrame, window: int, similarity: float, few: bool = True) -> DataFrame:
+def _judge(candidates: DataFrame, index: DataFrame, ks: list[int], similarity: float, few: bool = True) -> DataFrame:
     sizes = index.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
     tagged = candidates.select("doc_id", _tagged(F.col("text")).alias("tagged"))
     words = tagged.select("doc_id", _words(F.col("tagged")).alias("tagged"), _words(_template(F.col("tagged"))).alias("template"))
-    words = words.crossJoin(F.broadcast(index.select("k").distinct())) if index.filter(F.col("k") < window).limit(1).count() else words.withColumn("k", F.lit(window))
+    words = words.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     windows = words.select("doc_id", "k", F.inline(_slices(F.col("tagged"), F.col("template"), F.col("k")))).withColumnRenamed("words", "doc_words")
     small = F.broadcast(index) if few else index
     matched = windows.join(small, ["h", "k"]).filter(F.col("doc_words") == F.col("words")).select("doc_id", "item_id", "q", (F.col("at") - F.col("q")).alias("offset"), F.arrays_zip("item_values", "values").alias("slots"))
