@@ -92,4 +92,20 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (k)
 """
 
-ORACLE_SQL = {"op9_decontaminate": OP9_SQL, "op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL}
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents),
+windows AS (
+  SELECT k, doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS w
+  FROM (SELECT k, doc_id, words, unnest(generate_series(1, len(words) - 19)) AS i FROM d)),
+later AS (SELECT k, i FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id, i) > 1),
+covered AS (SELECT DISTINCT k, i + o AS i FROM later, range(20) t(o)),
+kept AS (
+  SELECT k, string_agg(w, ' ' ORDER BY i) AS text, count(*) AS n
+  FROM (SELECT k, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d) ANTI JOIN covered USING (k, i) GROUP BY k)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (k)
+"""
+
+ORACLE_SQL = {"op6_substring_dedup": OP6_SQL, "op9_decontaminate": OP9_SQL, "op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL}
