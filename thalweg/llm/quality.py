@@ -21,7 +21,7 @@ TRAIN_ROWS = 6_000
 #: log2 of the weights' number.
 DIM_BITS = 18
 #: Distinct words that a worker keeps hashes of.
-CACHE = 500_000
+CACHE = 200_000
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MASK = (1 << 64) - 1
