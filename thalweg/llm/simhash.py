@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, partitions
 from .components import connected_components
 
 BITS = 64
@@ -163,8 +163,14 @@ def _without(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     return docs.join(ids, docs[id_col] == ids["_dropped"], "left_anti")
 
 
+def _spread(small: DataFrame, key: str) -> DataFrame:
+    """Rows of a few bytes that are about to become many, over all partitions; their size alone would put them in a few."""
+    return small.repartition(partitions(small.sparkSession), key)
+
+
 def _components(rows: DataFrame, distance: int) -> DataFrame:
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    distinct = checkpoint(_spread(distinct, "fp"))
     roots = connected_components(links(distinct, "fp", distance))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     joined = checkpoint(joined)
@@ -186,7 +192,7 @@ LONGS = 5
 #: Measured on edited copies: three-word fingerprints of pairs between 0.80 and 0.85 differ in 9.8 % of their bits.
 WIDE_DISTANCE = 38
 #: Segments are so many bits longer than the logarithm of the number of fingerprints: chance meetings stay few at any size.
-SPARE_BITS = 6
+SPARE_BITS = 5
 #: In buckets of up to NEIGHBOURS + 2 members all pairs are compared, in larger ones each member with the first.
 NEIGHBOURS = 3
 
@@ -211,7 +217,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
     rows = checkpoint(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
-    units = checkpoint(rows.groupBy(*names).agg(F.min("doc_id").alias("u")))
+    units = checkpoint(_spread(rows.groupBy(*names).agg(F.min("doc_id").alias("u")), "u"))
     width = min(32, max(16, math.ceil(math.log2(max(units.count(), 2))) + SPARE_BITS))
     edges = _wide_links(units, names, width)
     roots = connected_components(edges)
