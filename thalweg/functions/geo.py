@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Metres of a degree of longitude at the equator and of latitude; below EPSILON a length counts as zero.
@@ -118,3 +118,20 @@ def line_pixels(r0, c0, r1, c1, interior: bool = False) -> Column:
 
     empty = F.array().cast("array<bigint>")
     return F.transform(F.when(last >= first, F.sequence(first, last)).otherwise(empty), pixel)
+
+
+def explode_line(df: DataFrame, keep: list[str], r0, c0, r1, c1, interior: bool = False) -> DataFrame:
+    """The columns to keep and r, c of each pixel of a line, a row for each: the same pixels as line_pixels.
+
+    Only the steps are an array; the pixels are column arithmetic, which stays inside generated code.
+    """
+    lines = df.select(*keep, *[F.col(c).cast("long").alias(f"_{n}") if isinstance(c, str) else c.cast("long").alias(f"_{n}") for n, c in (("r0", r0), ("c0", c0), ("r1", r1), ("c1", c1))])
+    dr, dc = F.abs(F.col("_r1") - F.col("_r0")), F.abs(F.col("_c1") - F.col("_c0"))
+    lines = lines.withColumns({"_m": F.greatest(dr, dc), "_k": F.least(dr, dc), "_by_row": dr > dc})
+    first, last = (F.lit(1).cast("long"), F.col("_m") - 1) if interior else (F.lit(0).cast("long"), F.col("_m"))
+    steps = lines.filter(last >= first).withColumn("_i", F.explode(F.sequence(first, last)))
+    off = F.expr("CASE WHEN _m = 0 THEN 0L ELSE (2 * _k * _i + _m) div (2 * _m) END")
+    sign = lambda a, b: F.when(F.col(a) < F.col(b), 1).when(F.col(a) > F.col(b), -1).otherwise(0)
+    r = F.col("_r0") + sign("_r0", "_r1") * F.when(F.col("_by_row"), F.col("_i")).otherwise(off)
+    c = F.col("_c0") + sign("_c0", "_c1") * F.when(F.col("_by_row"), off).otherwise(F.col("_i"))
+    return steps.select(*keep, r.alias("r"), c.alias("c"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import line_pixels
+from ..functions.geo import explode_line
 from .grid import offsets
 from .network import Network, head_cells
 
@@ -42,7 +42,7 @@ def near_enough(options: CouplingOptions):
 def crossing_pairs(placed: DataFrame, net: Network) -> DataFrame:
     """The pairs whose connecting line has a stream pixel inside: (basin, head_1, head_2)."""
     lines = placed.select("basin", "head_1", "head_2", "r1", "c1", "r2", "c2").distinct()
-    inside = lines.select("basin", "head_1", "head_2", F.inline(line_pixels(F.col("r1"), F.col("c1"), F.col("r2"), F.col("c2"), interior=True)))
+    inside = explode_line(lines, ["basin", "head_1", "head_2"], "r1", "c1", "r2", "c2", interior=True)
     streams = net.nodes.select("basin", "r", "c").distinct()
     return inside.join(streams, ["basin", "r", "c"], "left_semi").select("basin", "head_1", "head_2").distinct()
 

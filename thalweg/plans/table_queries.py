@@ -152,7 +152,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         SELECT l_orderkey, l_linenumber, l_partkey % 23 AS r0, l_suppkey % 19 AS c0, l_orderkey % 29 AS r1, CAST(l_quantity AS BIGINT) AS c1 FROM lineitem)))) GROUP BY 1, 2""")
 def line_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 23).alias("r0"), (F.col("l_suppkey") % 19).alias("c0"), (F.col("l_orderkey") % 29).alias("r1"), F.col("l_quantity").cast("long").alias("c1"))
-    lines = rows.select("l_orderkey", "l_linenumber", F.inline(geo.line_pixels(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1"))))
+    lines = geo.explode_line(rows, ["l_orderkey", "l_linenumber"], "r0", "c0", "r1", "c1")
     return lines.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * 31 + F.col("c")).alias("checksum"))
 
 
