@@ -231,3 +231,21 @@ def test_packing():
         assert (substring._unpack_sorted(substring._pack_sorted(np.sort(v))) == np.sort(v)).all()
     ids = np.array([0, -1, 5, -(2**62), 2**62])
     assert (substring._ids(substring._signed(ids)) == ids).all()
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_near_copies_that_share_a_large_bucket_with_others(spark, monkeypatch, block):
+    """Only the first segment is shared by all; the document of the smallest id is near to none of the others."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng, units, flips = random.Random(5), [], sum(1 << b for b in (0, 5, 9))
+    for k in range(41):
+        longs = [rng.getrandbits(64) for _ in range(simhash.LONGS)]
+        longs[0] = longs[0] >> 16 << 16 | 0xABCD
+        units.append((k, longs))
+        if k:
+            units.append((100 + k, [longs[0] ^ flips << 32, *[x ^ flips ^ flips << 32 for x in longs[1:]]]))
+    names = [f"f{k}" for k in range(simhash.LONGS)]
+    rows = [(u, *[x - (1 << 64) if x >> 63 else x for x in longs]) for u, longs in units]
+    df = spark.createDataFrame(rows, "u long, " + ", ".join(f"{n} long" for n in names))
+    got = {tuple(r) for r in simhash._wide_components(df, names, 16).collect()}
+    assert {n: r for n, r in got if n != r} == {100 + k: k for k in range(1, 41)}

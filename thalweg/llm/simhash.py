@@ -193,18 +193,19 @@ LONGS = 5
 WIDE_DISTANCE = 38
 #: Segments are so many bits longer than the logarithm of the number of fingerprints: chance meetings stay few at any size.
 SPARE_BITS = 5
-#: In buckets of up to NEIGHBOURS + 2 members all pairs are compared, in larger ones each member with the first.
+#: In buckets of up to NEIGHBOURS + 2 members all pairs are compared by a window; of larger ones see _wide_components.
 NEIGHBOURS = 3
+#: Larger buckets are compared in blocks of about so many members, each two blocks in one go.
+BLOCK = 2048
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of documents with a near copy: a similarity of about 0.8 or more, taken from fingerprints.
 
-    The ten segments of a fingerprint are indexed as they are and with each bit deleted.  Buckets of up to five documents
-    give all pairs; in a larger one each document is compared with the first, so that its rows grow with its size and
-    not with its square, while the 250 or more buckets of a document have different first ones.  Documents with equal
-    fingerprints count as one.  A pair at 0.8 meets in one of the segments with a probability of about 0.9, one at 0.9
-    with over 0.99; see README.
+    The ten segments of a fingerprint are indexed as they are and with each bit deleted.  All documents that share a
+    bucket are compared, unless they are linked already; see _wide_components.  Documents with equal fingerprints count
+    as one.  A pair at 0.8 meets in one of the segments with a probability of about 0.9, one at 0.9 with over 0.99; see
+    README.
 
     Texts without words are equal.  Rows without an id are left out.  Rows that share an id count as one document.
     """
@@ -219,14 +220,28 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = checkpoint(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
     units = checkpoint(_spread(rows.groupBy(*names).agg(F.min("doc_id").alias("u")), "u"))
     width = min(32, max(16, math.ceil(math.log2(max(units.count(), 2))) + SPARE_BITS))
-    edges = _wide_links(units, names, width)
-    roots = connected_components(edges)
+    roots = _wide_components(units, names, width)
     # Documents of equal fingerprints hang on the smallest of them; its component's smallest one is the root.
     linked = units.join(roots, units["u"] == roots["node"], "left").select(*names, "u", F.coalesce("root", "u").alias("component_id"))
     return rows.join(linked, names).select("doc_id", "component_id")
 
 
-def _wide_links(units: DataFrame, names: list[str], width: int) -> DataFrame:
+def _wide_components(units: DataFrame, names: list[str], width: int) -> DataFrame:
+    """(node, root) of the links between all fingerprints within WIDE_DISTANCE that share a bucket.
+
+    In a large bucket each member is compared with the first one, which links most of a group of near copies.  Members
+    that are in different components after that are compared with each other, all pairs, without a row for each pair.
+    """
+    met = checkpoint(_meetings(units, names, width))
+    roots = connected_components(_near(met, units, names))
+    more = checkpoint(_unlinked(met, units, names, roots))
+    if more.isEmpty():
+        return roots
+    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+
+def _meetings(units: DataFrame, names: list[str], width: int) -> DataFrame:
+    """(u, others, key, bit): whom u is compared with in a bucket; key is null in small buckets, where these are all."""
     mask = F.lit((1 << width) - 1)
     segments = F.array(*[F.struct(F.lit(2 * k + h).alias("slot"), F.shiftrightunsigned(n, 32 * h).bitwiseAND(mask).alias("v")) for k, n in enumerate(names) for h in (0, 1)])
     each = units.select("u", F.inline(segments)).select("u", "slot", "v", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("i"))
@@ -245,13 +260,87 @@ def _wide_links(units: DataFrame, names: list[str], width: int) -> DataFrame:
         F.when(plain, F.col("first0")).when(F.col("bit"), F.col("first0")).otherwise(F.col("first1")),
         *[F.when(F.col("few") & (plain | (F.col(f"b{k}.bit") != F.col("bit"))), F.col(f"b{k}.u")) for k in range(NEIGHBOURS)],
     )
-    pairs = met.select("u", F.explode(F.array_compact(others)).alias("o")).filter("u <> o").select(F.least("u", "o").alias("a"), F.greatest("u", "o").alias("b")).distinct()
+    # A large bucket of a deleted bit gives pairs only where the bit differs.
+    large = ~F.col("few") & (plain | (F.col("first0").isNotNull() & F.col("first1").isNotNull()))
+    met = met.select("u", F.filter(F.array_compact(others), lambda o: o != F.col("u")).alias("others"), F.when(large, F.col("key")).alias("key"), F.col("bit").cast("long").alias("bit"))
+    return met.filter((F.size("others") > 0) | F.col("key").isNotNull())
+
+
+def _near(met: DataFrame, units: DataFrame, names: list[str]) -> DataFrame:
+    pairs = met.select("u", F.explode("others").alias("o")).select(F.least("u", "o").alias("a"), F.greatest("u", "o").alias("b")).distinct()
     sides = [units.select(F.col("u").alias(x), *[F.col(n).alias(f"{x}_{n}") for n in names]) for x in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b")
     apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
     return both.filter(apart <= WIDE_DISTANCE).select("a", "b")
 
 
+def _unlinked(met: DataFrame, units: DataFrame, names: list[str], roots: DataFrame) -> DataFrame:
+    """Links (a, b) in large buckets between different components; at most one less than a bucket's components from each two blocks."""
+    large = met.filter(F.col("key").isNotNull()).select("key", "u", "bit")
+    rows = large.join(roots, large["u"] == roots["node"], "left").select("key", "u", "bit", F.coalesce("root", "u").alias("c"))
+    # A row is needed if its bucket has a member that it may link to in another component; with a deleted bit, one that differs in the bit.
+    sides = {"": F.lit(True), "0": F.col("bit") == 0, "1": F.col("bit") == 1}
+    ends = [f(F.when(on, F.col("c"))).alias(f"{n}{x}") for x, on in sides.items() for n, f in (("low", F.min), ("high", F.max))]
+    mixed = rows.groupBy("key").agg(*ends, F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")).filter("low < high")
+    other = {x: (F.col(f"low{x}") != F.col("c")) | (F.col(f"high{x}") != F.col("c")) for x in sides}
+    plain = F.call_function("shiftright", F.col("key"), F.lit(32)) % 64 == 0
+    needed = F.when(plain, other[""]).when(F.col("bit") == 0, other["1"]).otherwise(other["0"])
+    rows = rows.join(mixed, "key").filter(needed).select("key", "u", "bit", "c", "n").withColumn("own", F.pmod(F.xxhash64("u"), F.col("n")))
+    # Most buckets are one block; the rows of others go to each two blocks that have them.
+    several = rows.filter("n > 1").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = rows.filter("n = 1").withColumn("with", F.lit(0).cast("long")).union(several)
+    rows = rows.select("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "bit", "c", "u").join(units, "u").select("key", "x", "y", "own", "bit", "c", "u", *names)
+    group = ["key", "x", "y"]
+
+    def run(batches):
+        held = np.empty((0, 7 + LONGS), dtype=np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
+            cuts = [0, *(np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1).tolist()]
+            links = [x for s, e in zip(cuts[:-1], cuts[1:], strict=True) for x in _joining(held[s:e])]
+            held = held[cuts[-1] :]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+        if len(held):
+            links = _joining(held)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = rows.repartition(partitions(rows.sparkSession), *group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _joining(rows: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the components of two blocks of a bucket; rows are (key, block, block, own block, bit, component, u, fingerprint)."""
+    key, x, y = rows[0, :3].tolist()
+    own, bit, u, fps = rows[:, 3], rows[:, 4], rows[:, 6], rows[:, 7:].view(np.uint64)
+    names, c = np.unique(rows[:, 5], return_inverse=True)
+    if len(names) < 2:
+        return []
+    root, out = list(range(len(names))), []
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    for at in range(0, len(rows), 256):
+        # Each pair once: a slice with what follows it and with itself.
+        here = slice(at, at + 256)
+        apart = sum(np.bitwise_count(fps[here, k, None] ^ fps[None, at:, k]).astype(np.int16) for k in range(fps.shape[1]))
+        near = (apart <= WIDE_DISTANCE) & (c[here, None] != c[None, at:])
+        if (key >> 32) % 64:
+            near &= bit[here, None] != bit[None, at:]
+        if x != y:
+            near &= own[here, None] != own[None, at:]
+        i, j = np.nonzero(near)
+        _, first = np.unique(c[i + at] * len(names) + c[j + at], return_index=True)
+        for k in first.tolist():
+            a, b = top(int(c[i[k] + at])), top(int(c[j[k] + at]))
+            if a != b:
+                root[a] = b
+                out.append((int(u[i[k] + at]), int(u[j[k] + at])))
+    return out
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near_copies, the one with the smallest doc_id, with all its columns.
 
