@@ -243,6 +243,15 @@ def test_inconsistent_slots_do_not_match(spark):
     assert got == {1, 2}
 
 
+def test_copies_in_other_case_or_with_other_line_breaks_match(spark):
+    clips = "Natalia sold clips to 48 of her friends in April, and then she sold half as many clips in May. How many clips did Natalia sell altogether in April and May?"
+    german = "Der Bäcker hat am Morgen 40 Brote und die Bäckerin hat am Abend 25 Kuchen in der Stadt verkauft"
+    bench = spark.createDataFrame([(1, clips), (2, german), (3, ITEM)], "item_id long, text string")
+    rows = [(1, clips.lower()), (2, clips.upper()), (3, clips.replace("in April", "in\nApril")), (4, german.lower()), (5, ITEM.upper()), (6, ITEM.replace("60 km", "60\n  KM").lower()), (7, clips.upper().replace("48", "31"))]
+    got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontam.contaminated(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 3), (7, 1)} and not got[7, 1] and got[1, 1]
+
+
 def test_strides_meet_every_item():
     for n in range(1, 60):
         stride, missing = decontam._stride(n, 0.8), int(n * 0.2 + 1e-9)

@@ -3,6 +3,9 @@
 Numbers, names and units of texts become typed placeholders; windows of five template words of the benchmark are
 indexed by hash and joined with the documents' windows, so a question with other numbers or names still matches.  The
 values in the placeholders of a match are then compared: each value of the question must stand for one value throughout.
+
+Case decides which words are names, so a text has several readings; see _readings.  A document holds an item if it does
+in one of them.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ TAGGING = [
     (rf"({NUMBER}[0-9{JOINT}]+) ?({UNITS})([^\p{{L}}]|$)", f"$1 {UNIT}$2$3"),
     (r"([\p{L}0-9,;:)] )(\p{Lu}\p{Ll}\p{L}*)", f"$1{NAME}$2"),
 ]
+#: Units in any case and after any white space; for the readings that the SQL does not have.
+ANY_UNIT = (rf"({NUMBER}[0-9{JOINT}]+)\s*((?i:{UNITS}))([^\p{{L}}]|$)", f"$1 {UNIT}$2$3")
 SPLIT = rf"[^\p{{L}}\p{{Nd}}{NUMBER}-{JOINT}]+"
 #: A tag and its value, of which the template keeps the tag.
 VALUE = rf"([{NUMBER}-{UNIT}])[\p{{L}}\p{{Nd}}{JOINT}]+"
@@ -45,6 +50,14 @@ def _tagged(text: Column) -> Column:
     return F.lower(out)
 
 
+def _readings(text: Column) -> list[Column]:
+    """A text's tagged forms: as TAGGING has it; with numbers and units only, in lower case."""
+    numbers = F.coalesce(text, F.lit(""))
+    for pattern, replacement in (*TAGGING[:2], ANY_UNIT):
+        numbers = F.regexp_replace(numbers, pattern, replacement)
+    return [_tagged(text), F.lower(numbers)]
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPLIT), lambda w: w != "")
 
@@ -68,28 +81,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     all are the item's own.  A window has LITERALS other words at least; an item of fewer words than `window` has one
     window, its whole template.  Items without such a window (null and empty texts too) match nothing.
 
+    A pair that matches in several readings has the columns of the first of them.
+
     Rows without doc_id cannot be named in a result and are not searched; rows that share one count as one document.
     Repeated items (same id) count once.  Other columns are ignored.  Empty tables give an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
     index = checkpoint(_index(benchmark, window))
-    sizes = index.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), (F.max("q") - F.min("q") + 1).alias("span"), F.first("k").alias("k"))
-    kinds = sizes.groupBy("k", "n", F.expr("n = span").alias("whole")).count().collect()  # as many as an item has words at most
-    pairs = None
+    sizes = index.groupBy("reading", "item_id").agg(F.count(F.lit(1)).alias("n"), (F.max("q") - F.min("q") + 1).alias("span"), F.first("k").alias("k"))
+    kinds = sizes.groupBy("reading", "k", "n", F.expr("n = span").alias("whole")).count().collect()  # as many as an item has words at most
+    used = sorted({(r["reading"], r["k"]) for r in kinds})
+    if not used:
+        return _judge(rows.limit(0), index, [(0, window)], similarity)
     few = index.count() <= BROADCAST_ROWS
-    ks = sorted({r["k"] for r in kinds})
-    for k in ks:
-        # A gap in an item's windows shortens the runs that the stride relies on.
-        stride = min(_stride(r["n"], similarity) if r["whole"] else 1 for r in kinds if r["k"] == k)
-        own = index.filter(F.col("k") == k).select("h", "item_id").distinct()
-        probes = rows.select("doc_id", _words(_template(_tagged(F.col("text")))).alias("words")).select("doc_id", F.explode(_hashes(F.col("words"), k, stride)).alias("h"))
-        found = probes.join(F.broadcast(own) if few else own, "h").select("doc_id", "item_id").distinct()
-        pairs = found if pairs is None else pairs.union(found)
-    if pairs is None:
-        return _judge(rows.limit(0), index, [window], similarity)
-    ids = checkpoint(pairs.select("doc_id").distinct())
+    # A gap in an item's windows shortens the runs that the stride relies on.
+    strides = {u: min(_stride(r["n"], similarity) if r["whole"] else 1 for r in kinds if (r["reading"], r["k"]) == u) for u in used}
+    words = rows.select("doc_id", *[_words(_template(t)).alias(f"words{i}") for i, t in enumerate(_readings(F.col("text")))])
+    probes = words.select("doc_id", F.explode(F.concat(*[_hashes(F.col(f"words{i}"), k, strides[i, k]) for i, k in used])).alias("h"))
+    own = index.select("h").distinct()
+    ids = checkpoint(probes.join(F.broadcast(own) if few else own, "h").select("doc_id").distinct())
     candidates = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    return _judge(candidates, index, ks, similarity, few)
+    return _judge(candidates, index, used, similarity, few)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,30 +122,36 @@ def _slices(tagged: Column, template: Column, k: Column) -> Column:
 
 
 def _index(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, k, q, h, words, item_values): an item's windows."""
+    """(reading, item_id, k, q, h, words, item_values): an item's windows."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))
-    items = items.select("item_id", _tagged(F.col("text")).alias("tagged"))
-    items = items.select("item_id", _words(F.col("tagged")).alias("tagged"), _words(_template(F.col("tagged"))).alias("template")).withColumn("k", F.least(F.lit(window), F.size("template")))
-    windows = items.select("item_id", "k", F.inline(_slices(F.col("tagged"), F.col("template"), F.col("k"))))
+    items = items.select("item_id", F.posexplode(F.array(*_readings(F.col("text")))).alias("reading", "tagged"))
+    items = items.select("reading", "item_id", _words(F.col("tagged")).alias("tagged"), _words(_template(F.col("tagged"))).alias("template")).withColumn("k", F.least(F.lit(window), F.size("template")))
+    windows = items.select("reading", "item_id", "k", F.inline(_slices(F.col("tagged"), F.col("template"), F.col("k"))))
     literal = F.size(F.filter("words", lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    return windows.filter(literal >= F.least(F.lit(LITERALS), F.col("k"))).select("item_id", "k", F.col("at").alias("q"), "h", "words", F.col("values").alias("item_values"))
-
-
-def _judge(candidates: DataFrame, index: DataFrame, ks: list[int], similarity: float, few: bool = True) -> DataFrame:
-    sizes = index.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    tagged = candidates.select("doc_id", _tagged(F.col("text")).alias("tagged"))
-    words = tagged.select("doc_id", _words(F.col("tagged")).alias("tagged"), _words(_template(F.col("tagged"))).alias("template"))
-    words = words.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    windows = words.select("doc_id", "k", F.inline(_slices(F.col("tagged"), F.col("template"), F.col("k")))).withColumnRenamed("words", "doc_words")
+    return windows.filter(literal >= F.least(F.lit(LITERALS), F.col("k"))).select("reading", "item_id", "k", F.col("at").alias("q"), "h", "words", F.col("values").alias("item_values"))
+
+
+def _judge(candidates: DataFrame, index: DataFrame, used: list[tuple[int, int]], similarity: float, few: bool = True) -> DataFrame:
+    """The result for these documents; used: the readings and their window lengths."""
+    pair = ["reading", "doc_id", "item_id"]
+    sizes = index.groupBy("reading", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    tagged = candidates.select("doc_id", F.posexplode(F.array(*_readings(F.col("text")))).alias("reading", "tagged"))
+    words = tagged.select("reading", "doc_id", _words(F.col("tagged")).alias("tagged"), _words(_template(F.col("tagged"))).alias("template"))
+    ks = {i: F.array(*[F.lit(k) for j, k in used if j == i]) for i, _ in used}
+    lengths = F.coalesce(*[F.when(F.col("reading") == i, a) for i, a in ks.items()])
+    words = words.withColumn("k", F.explode(lengths))
+    windows = words.select("reading", "doc_id", "k", F.inline(_slices(F.col("tagged"), F.col("template"), F.col("k")))).withColumnRenamed("words", "doc_words")
     small = F.broadcast(index) if few else index
-    matched = windows.join(small, ["h", "k"]).filter(F.col("doc_words") == F.col("words")).select("doc_id", "item_id", "q", (F.col("at") - F.col("q")).alias("offset"), F.arrays_zip("item_values", "values").alias("slots"))
+    matched = windows.join(small, ["reading", "h", "k"]).filter(F.col("doc_words") == F.col("words")).select(*pair, "q", (F.col("at") - F.col("q")).alias("offset"), F.arrays_zip("item_values", "values").alias("slots"))
     slots = F.filter("slots", lambda s: F.substring(s["item_values"], 1, 1).isin(NUMBER, NAME, UNIT))
     matched = checkpoint(matched.withColumn("slots", slots))
-    whole = matched.groupBy("doc_id", "item_id").agg(F.count_distinct("q").alias("n_matched")).join(F.broadcast(sizes) if few else sizes, "item_id")
+    whole = matched.groupBy(*pair).agg(F.count_distinct("q").alias("n_matched")).join(F.broadcast(sizes) if few else sizes, ["reading", "item_id"])
     whole = whole.withColumn("similarity", F.col("n_matched") / F.col("n_windows")).filter(F.col("similarity") >= similarity)
-    offsets = matched.groupBy("doc_id", "item_id", "offset").agg(F.count_distinct("q").alias("n"))
-    best = offsets.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "offset")).alias("best")).select("doc_id", "item_id", F.col("best.offset").alias("offset"))
-    values = matched.join(best, ["doc_id", "item_id", "offset"]).select("doc_id", "item_id", F.explode("slots").alias("slot")).select("doc_id", "item_id", F.col("slot.item_values").alias("asked"), F.col("slot.values").alias("found")).distinct()
-    judged = values.groupBy("doc_id", "item_id").agg(F.count_distinct("asked").alias("n_slots"), F.count(F.lit(1)).alias("n_values"), F.bool_and(F.col("asked") == F.col("found")).alias("verbatim"))
-    out = whole.join(judged, ["doc_id", "item_id"], "left").filter(F.coalesce(F.col("n_slots") == F.col("n_values"), F.lit(True)))
-    return out.select("doc_id", "item_id", "n_windows", "n_matched", "similarity", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("verbatim", F.lit(True)).alias("verbatim"))
+    offsets = matched.groupBy(*pair, "offset").agg(F.count_distinct("q").alias("n"))
+    best = offsets.groupBy(*pair).agg(F.min(F.struct((-F.col("n")).alias("n"), "offset")).alias("best")).select(*pair, F.col("best.offset").alias("offset"))
+    values = matched.join(best, [*pair, "offset"]).select(*pair, F.explode("slots").alias("slot")).select(*pair, F.col("slot.item_values").alias("asked"), F.col("slot.values").alias("found")).distinct()
+    judged = values.groupBy(*pair).agg(F.count_distinct("asked").alias("n_slots"), F.count(F.lit(1)).alias("n_values"), F.bool_and(F.col("asked") == F.col("found")).alias("verbatim"))
+    out = whole.join(judged, pair, "left").filter(F.coalesce(F.col("n_slots") == F.col("n_values"), F.lit(True)))
+    rest = ["n_windows", "n_matched", "similarity", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("verbatim", F.lit(True)).alias("verbatim")]
+    first = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("reading", *rest)).alias("first"))
+    return first.select("doc_id", "item_id", *[F.col(f"first.{c}").alias(c) for c in ("n_windows", "n_matched", "similarity", "n_slots", "verbatim")])
