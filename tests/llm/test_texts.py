@@ -252,6 +252,16 @@ def test_copies_in_other_case_or_with_other_line_breaks_match(spark):
     assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 3), (6, 3), (7, 1)} and not got[7, 1] and got[1, 1]
 
 
+def test_names_at_the_start_of_sentences_and_in_runs_match(spark):
+    maria = "Maria has 12 apples. Maria gives 5 apples to Tom. How many apples does Maria have left?"
+    baker = "A baker sold 48 loaves to Anna Smith and 30 loaves to John Miller in one week. How many loaves did Anna Smith and John Miller buy from the baker in all?"
+    other = [maria.replace("Maria", "Sofia").replace("Tom", "Ben").replace("12", "31").replace("5", "9"), baker.replace("Anna Smith", "Eva Brown").replace("John Miller", "Paul Jones").replace("48", "17").replace("30", "22")]
+    uneven = maria.replace("Maria", "Sofia", 1).replace("Maria", "Clara").replace("12", "31")
+    bench = spark.createDataFrame([(1, maria), (2, baker)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["verbatim"]) for r in decontam.contaminated(spark.createDataFrame([(1, other[0]), (2, other[1]), (3, uneven)], DOCS), bench).collect()}
+    assert got == {(1, 1, False), (2, 2, False)}
+
+
 def test_strides_meet_every_item():
     for n in range(1, 60):
         stride, missing = decontam._stride(n, 0.8), int(n * 0.2 + 1e-9)

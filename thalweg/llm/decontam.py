@@ -38,6 +38,8 @@ TAGGING = [
 ]
 #: Units in any case and after any white space; for the readings that the SQL does not have.
 ANY_UNIT = (rf"({NUMBER}[0-9{JOINT}]+)\s*((?i:{UNITS}))([^\p{{L}}]|$)", f"$1 {UNIT}$2$3")
+#: Every capitalised word, at the start of a sentence and after another name too. What precedes is looked at last, as it costs most.
+ANY_NAME = (rf"(\p{{Lu}}(?<![\p{{L}}\p{{Nd}}{NUMBER}-{JOINT}].)\p{{Ll}}\p{{L}}*)", f"{NAME}$1")
 SPLIT = rf"[^\p{{L}}\p{{Nd}}{NUMBER}-{JOINT}]+"
 #: A tag and its value, of which the template keeps the tag.
 VALUE = rf"([{NUMBER}-{UNIT}])[\p{{L}}\p{{Nd}}{JOINT}]+"
@@ -51,11 +53,11 @@ def _tagged(text: Column) -> Column:
 
 
 def _readings(text: Column) -> list[Column]:
-    """A text's tagged forms: as TAGGING has it; with numbers and units only, in lower case."""
+    """A text's tagged forms: as TAGGING has it; with each capitalised word as a name; with numbers and units only, in lower case."""
     numbers = F.coalesce(text, F.lit(""))
     for pattern, replacement in (*TAGGING[:2], ANY_UNIT):
         numbers = F.regexp_replace(numbers, pattern, replacement)
-    return [_tagged(text), F.lower(numbers)]
+    return [_tagged(text), F.lower(F.regexp_replace(numbers, *ANY_NAME)), F.lower(numbers)]
 
 
 def _words(text: Column) -> Column:
