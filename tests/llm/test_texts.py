@@ -262,11 +262,95 @@ def test_names_at_the_start_of_sentences_and_in_runs_match(spark):
     assert got == {(1, 1, False), (2, 2, False)}
 
 
-def test_strides_meet_every_item():
-    for n in range(1, 60):
-        stride, missing = decontam._stride(n, 0.8), int(n * 0.2 + 1e-9)
-        # The worst case spreads the missing windows evenly: the longest run of the others.
-        assert stride <= -(-(n - missing) // (missing + 1)) or stride == 1
+def test_neighbouring_names_numbers_and_matches_at_scattered_offsets(spark):
+    smith, numbers = "the prize goes to Mr John Smith and then 1/2/3 apples go to them", "John Smith"
+    item = " ".join(f"w{chr(97 + i)}" for i in range(24))  # 20 windows
+    runs = " ".join(f"{' '.join(item.split()[q : q + 7])} pad{'x' * (q % 4)}" for q in (0, 3, 6, 9, 12, 15, 17))
+    bench = spark.createDataFrame([(1, smith), (2, item), (3, "Compute 12 + 30."), (4, "Yes"), (5, numbers)], "item_id long, text string")
+    rows = [(1, smith.replace("John Smith", "Mary Jones").replace("1/2/3", "4/5/6")), (2, runs), (3, "please compute 12 + 30 now"), (4, "compute 12 + 31"), (5, "yes"), (6, "yes or no"), (7, smith.replace("John Smith", "Mary"))]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (5, 4)}
+    assert not got[1, 1]["verbatim"] and got[3, 3]["verbatim"] and got[2, 2]["n_matched"] == 20 and got[2, 2]["similarity"] == 1.0
+
+
+UNITS = {"km", "kg", "m", "min", "hours", "hour"}
+
+
+def plain_readings(text):
+    """Words of the two readings with placeholders, one character after the other, without patterns: [(tag or "", value)]."""
+    words, i = [], 0
+    while i < len(text):
+        j = i
+        if text[i] in "0123456789":
+            while j < len(text) and (text[j] in "0123456789" or (text[j] in ".,:/" and text[j + 1 : j + 2] in tuple("0123456789"))):
+                j += 1
+            words.append(("number", text[i:j]))
+            k = j
+            while k < len(text) and text[k] in " \n":
+                k += 1
+            e = k
+            while e < len(text) and text[e].isalpha():
+                e += 1
+            if text[k:e].lower() in UNITS:
+                words.append(("unit", text[k:e].lower()))
+                j = e
+        elif text[i].isalpha():
+            while j < len(text) and text[j].isalpha():
+                j += 1
+            words.append(("", text[i:j]))
+        else:
+            j += 1
+        i = j
+    named = [("name", w.lower()) if not t and w[0].isupper() and w[1:2].islower() else (t, w.lower()) for t, w in words]
+    return [named, [(t, w.lower()) for t, w in words]]
+
+
+def plain_contaminated(docs, items):
+    """All windows of all readings, compared pair by pair. The texts have no digits next to letters without a space, but for units."""
+    out = {}
+    for i, item in items:
+        own = {}
+        for reading, words in enumerate(plain_readings(item)):
+            k = min(5, len(words))
+            windows = [(q, words[q : q + k]) for q in range(len(words) - k + 1) if k]
+            windows = [(q, w) for q, w in windows if sum(not t for t, _ in w) >= 2]
+            if windows:
+                own[reading] = (k, windows)
+        for d, text in docs:
+            readings = plain_readings(text)
+            for reading, (k, windows) in own.items():
+                words = readings[reading]
+                shape = lambda w: [t or v for t, v in w]
+                met = [(q, at - q, w, words[at : at + k]) for q, w in windows for at in range(len(words) - k + 1) if shape(words[at : at + k]) == shape(w)]
+                matched = len({q for q, *_ in met})
+                if matched / len(windows) < 0.8:
+                    continue
+                offsets = {}
+                for q, off, *_ in met:
+                    offsets.setdefault(off, set()).add(q)
+                best = min(offsets, key=lambda o: (-len(offsets[o]), o))
+                slots = {(a, f) for _, off, asked, found in met if off == best for a, f in zip(asked, found, strict=True) if a[0]}
+                if len({a for a, _ in slots}) == len(slots):
+                    out.setdefault((d, i), (reading, len(windows), matched, len(slots), all(a == f for a, f in slots)))
+    return {key: v[1:] for key, v in out.items()}
+
+
+def test_decontamination_against_a_plain_version(spark):
+    rng = random.Random(7)
+    vocabulary = ["the", "cat", "sat", "on", "mat", "and", "é", "John", "Smith", "MARY", "Anna", "A", "12", "3.5", "1/2/3", "7 km", "8kg", "9  Min", "2 hours,", "mat.", "Then", "1,", "2."]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, text(rng.randint(6, 14))) for i in range(12)]
+    docs = []
+    for i in range(150):
+        words = rng.choice(items)[1].split(" ")
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = [rng.choice(vocabulary)]
+        docs.append((i, text(3) + " " + " ".join(words) + " " + text(3)))
+    got = decontam.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    expected = plain_contaminated(docs, items)
+    assert len(expected) > 30
+    assert {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_matched"], r["n_slots"], r["verbatim"]) for r in got} == expected
 
 
 # -- shards

@@ -4,15 +4,17 @@ Numbers, names and units of texts become typed placeholders; windows of five tem
 indexed by hash and joined with the documents' windows, so a question with other numbers or names still matches.  The
 values in the placeholders of a match are then compared: each value of the question must stand for one value throughout.
 
-Case decides which words are names, so a text has several readings; see _readings.  A document holds an item if it does
-in one of them.
+Texts are read in two ways: with each capitalised word as a name, wherever it stands; and without names and in lower
+case, so that case and line breaks do not matter.  Items too short for a template are held against plain words.  A
+document holds an item if it does in one of the readings.
+
+Every window of every document is probed.  An item that may miss m of its n windows is sure to share one of any m + 1,
+so only its m + 1 windows that the fewest items have bring candidates: wording that many items share brings few.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint
@@ -20,90 +22,120 @@ from .common import checkpoint
 WINDOW, SIMILARITY = 5, 0.8
 #: Template words other than placeholders that a window needs, so that bare lists of numbers match nothing.
 LITERALS = 2
-#: Rows of the benchmark's index, and of candidates, up to which they are broadcast (about 30 bytes each).
-BROADCAST_ROWS = 1_000_000
-#: Windows of a document are probed at multiples of a stride of at most this; see _stride.
-LONGEST_STRIDE = 4
+#: Bytes of a hash table up to which a side is broadcast, and of one of its rows (a hash and an id).
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 48
+#: Readings: names by capitals, no names, plain words. Plain items of fewer words than PLAIN_WORDS must be the whole document.
+NAMES, LOWER, PLAIN, PLAIN_WORDS = 0, 1, 2, 3
 
 # Tags of the three types of placeholder, the sign that joins the groups of a number, and units.
 NUMBER, NAME, UNIT, JOINT = "\ue000", "\ue001", "\ue002", "\ue003"
 UNITS = "kg|mg|g|km|cm|mm|m|mi|ft|lb|oz|l|ml|h|min|s|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|dollars?|euros?|cents?|percent|liters?|litres?"
+SPACE = r"[ \t\n\x0b\f\r]"
+
+#: A unit directly after a digit or after white space, in any case.
+_UNIT = rf"([0-9]){SPACE}*((?iu:{UNITS}))(?!\p{{L}})"
+#: Groups of digits with one of .,:/ between them are one number.
+_NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+_BREAK = rf"[^\p{{L}}\p{{Nd}}{NUMBER}-{JOINT}]+"
+_CAPITAL = r"^\p{Lu}\p{Ll}"
+
+
+def _split(text: Column) -> Column:
+    return F.filter(F.split(text, _BREAK), lambda w: w != "")
+
 
-#: (pattern, replacement with $n) that tag the placeholders of a text, in order.
-TAGGING = [
-    (r"([0-9])[.,:/]([0-9])", f"$1{JOINT}$2"),
-    (rf"([0-9{JOINT}]+)", f"{NUMBER}$1"),
-    (rf"({NUMBER}[0-9{JOINT}]+) ?({UNITS})([^\p{{L}}]|$)", f"$1 {UNIT}$2$3"),
-    (r"([\p{L}0-9,;:)] )(\p{Lu}\p{Ll}\p{L}*)", f"$1{NAME}$2"),
-]
-#: Units in any case and after any white space; for the readings that the SQL does not have.
-ANY_UNIT = (rf"({NUMBER}[0-9{JOINT}]+)\s*((?i:{UNITS}))([^\p{{L}}]|$)", f"$1 {UNIT}$2$3")
-#: Every capitalised word, at the start of a sentence and after another name too. What precedes is looked at last, as it costs most.
-ANY_NAME = (rf"(\p{{Lu}}(?<![\p{{L}}\p{{Nd}}{NUMBER}-{JOINT}].)\p{{Ll}}\p{{L}}*)", f"{NAME}$1")
-SPLIT = rf"[^\p{{L}}\p{{Nd}}{NUMBER}-{JOINT}]+"
-#: A tag and its value, of which the template keeps the tag.
-VALUE = rf"([{NUMBER}-{UNIT}])[\p{{L}}\p{{Nd}}{JOINT}]+"
+def _typed(text: Column) -> Column:
+    """Words in their case; numbers and units are words of their own, of which the tag alone is left."""
+    return _split(F.regexp_replace(F.regexp_replace(text, _UNIT, f"$1 {UNIT} "), _NUMBER, f" {NUMBER} "))
 
 
-def _tagged(text: Column) -> Column:
-    out = F.coalesce(text, F.lit(""))
-    for pattern, replacement in TAGGING:
-        out = F.regexp_replace(out, pattern, replacement)
-    return F.lower(out)
+def _valued(text: Column) -> Column:
+    """The same words, with the values of numbers and units behind their tags."""
+    joined = F.regexp_replace(F.regexp_replace(text, _UNIT, f"$1 {UNIT}$2 "), r"[.,:/](?<=[0-9].)(?=[0-9])", JOINT)
+    return _split(F.regexp_replace(joined, rf"[0-9][0-9{JOINT}]*", f" {NUMBER}$0 "))
 
 
-def _readings(text: Column) -> list[Column]:
-    """A text's tagged forms: as TAGGING has it; with each capitalised word as a name; with numbers and units only, in lower case."""
-    numbers = F.coalesce(text, F.lit(""))
-    for pattern, replacement in (*TAGGING[:2], ANY_UNIT):
-        numbers = F.regexp_replace(numbers, pattern, replacement)
-    return [_tagged(text), F.lower(F.regexp_replace(numbers, *ANY_NAME)), F.lower(numbers)]
+def _plain(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(text, SPLIT), lambda w: w != "")
+def _templates(text: Column) -> list[Column]:
+    """A text's template words in each reading."""
+    words = _typed(text)
+    return [F.transform(words, lambda w: F.when(w.rlike(_CAPITAL), F.lit(NAME)).otherwise(F.lower(w))), F.transform(words, F.lower), _plain(text)]
+
+
+def _tagged(text: Column) -> list[Column]:
+    """A text's words in each reading, with values behind the tags."""
+    words = _valued(text)
+    return [F.transform(words, lambda w: F.when(w.rlike(_CAPITAL), F.concat(F.lit(NAME), F.lower(w))).otherwise(F.lower(w))), F.transform(words, F.lower), _plain(text)]
+
+
+def _is_tag(first: Column) -> Column:
+    return first.isin(NUMBER, NAME, UNIT)
 
 
 def _template(tagged: Column) -> Column:
-    return F.regexp_replace(tagged, VALUE, "$1")
+    return F.transform(tagged, lambda w: F.when(_is_tag(F.substring(w, 1, 1)), F.substring(w, 1, 1)).otherwise(w))
+
 
+def _starts(words: Column, k: Column, reading: Column | None = None) -> Column:
+    """Where windows of k words begin, from 1; of a plain item below PLAIN_WORDS only if these are all words."""
+    fits = (k > 0) & (F.size(words) >= k)
+    if reading is not None:
+        fits = fits & ((reading != PLAIN) | (k >= PLAIN_WORDS) | (F.size(words) == k))
+    return F.when(fits, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
 
-def _stride(windows: int, similarity: float) -> int:
-    """The longest stride that meets a matching window of an item, whichever windows the similarity lets be missing."""
-    missing = math.floor(windows * (1 - similarity) + 1e-9)
-    return max(1, min(LONGEST_STRIDE, math.ceil((windows - missing) / (missing + 1))))
+
+def _hash(words: Column, at: Column, k: Column, reading: Column) -> Column:
+    return F.xxhash64(reading, F.slice(words, at, k))
+
+
+def _windows(rows: DataFrame, *keys: str) -> DataFrame:
+    """(reading, k, keys, at, h, words, values) of rows with reading, k and tagged."""
+    rows = rows.withColumn("template", _template(F.col("tagged")))
+    reading, k, template, tagged = (F.col(c) for c in ("reading", "k", "template", "tagged"))
+    each = F.transform(_starts(template, k, reading), lambda i: F.struct(i.alias("at"), _hash(template, i, k, reading).alias("h"), F.slice(template, i, k).alias("words"), F.slice(tagged, i, k).alias("values")))
+    return rows.select("reading", "k", *keys, F.inline(each))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its counted rows are within the bound; df is checkpointed."""
+    return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_BYTES else df
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs of a document and a benchmark item whose template it holds: doc_id, item_id, n_windows, n_matched, similarity, n_slots, verbatim.
 
-    similarity is the share of the item's template windows that the document has; pairs from `similarity` on count, if
-    the slots are consistent: at the offset where most windows match (the smallest of them), each value in a placeholder
-    of the item always meets one and the same value in the document.  n_slots counts these values; verbatim tells that
-    all are the item's own.  A window has LITERALS other words at least; an item of fewer words than `window` has one
-    window, its whole template.  Items without such a window (null and empty texts too) match nothing.
+    similarity is the share of the item's template windows that the document has, at any places; pairs from `similarity`
+    on count, if the slots are consistent: at the offset where most windows match (the smallest of them), each value in
+    a placeholder of the item always meets one and the same value in the document.  n_slots counts these values;
+    verbatim tells that all are the item's own.  A window has LITERALS other words at least; an item of three words
+    or more, but fewer than `window`, has one window, its whole template.  An item without such a window is compared word
+    by word, numbers included: its words must stand in the document in a row, and items of one or two words must be all
+    of it.  Items without letters (null and empty texts too) match nothing.
 
     A pair that matches in several readings has the columns of the first of them.
 
     Rows without doc_id cannot be named in a result and are not searched; rows that share one count as one document.
     Repeated items (same id) count once.  Other columns are ignored.  Empty tables give an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("doc_id").isNotNull())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter(F.col("doc_id").isNotNull())
     index = checkpoint(_index(benchmark, window))
-    sizes = index.groupBy("reading", "item_id").agg(F.count(F.lit(1)).alias("n"), (F.max("q") - F.min("q") + 1).alias("span"), F.first("k").alias("k"))
-    kinds = sizes.groupBy("reading", "k", "n", F.expr("n = span").alias("whole")).count().collect()  # as many as an item has words at most
-    used = sorted({(r["reading"], r["k"]) for r in kinds})
-    if not used:
-        return _judge(rows.limit(0), index, [(0, window)], similarity)
-    few = index.count() <= BROADCAST_ROWS
-    # A gap in an item's windows shortens the runs that the stride relies on.
-    strides = {u: min(_stride(r["n"], similarity) if r["whole"] else 1 for r in kinds if (r["reading"], r["k"]) == u) for u in used}
-    words = rows.select("doc_id", *[_words(_template(t)).alias(f"words{i}") for i, t in enumerate(_readings(F.col("text")))])
-    probes = words.select("doc_id", F.explode(F.concat(*[_hashes(F.col(f"words{i}"), k, strides[i, k]) for i, k in used])).alias("h"))
-    own = index.select("h").distinct()
-    ids = checkpoint(probes.join(F.broadcast(own) if few else own, "h").select("doc_id").distinct())
-    candidates = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    return _judge(candidates, index, used, similarity, few)
+    sizes = index.groupBy("reading", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+    # The items' rarest windows, one more than may be missing.
+    order = Window.partitionBy("reading", "item_id").orderBy("shared", "q")
+    ranked = index.withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("h"))).withColumn("place", F.row_number().over(order)).join(sizes, ["reading", "item_id"])
+    anchors = ranked.filter(F.col("place") <= F.floor(F.col("n_windows") * (1 - similarity) + 1e-9) + 1)
+    anchors = checkpoint(anchors.select("h", "reading", "item_id", "k").distinct())
+    used = sorted((r["reading"], r["k"]) for r in anchors.select("reading", "k").distinct().collect())  # few: window lengths
+    templates = _templates(F.col("text"))
+    words = rows.select("doc_id", *[templates[i].alias(f"words{i}") for i in sorted({i for i, _ in used})])
+    none = F.array().cast("array<bigint>")
+    hashes = [_probes(F.col(f"words{i}"), k, i) for i, k in used]
+    probes = words.select("doc_id", F.explode(F.concat(*hashes) if hashes else none).alias("h"))
+    pairs = checkpoint(probes.join(_small(anchors), "h").select("reading", "doc_id", "item_id", "k").distinct())
+    return _judge(rows, index, pairs, sizes, similarity)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,42 +144,40 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     return docs.join(found, docs[id_col] == found["_held"], "left_anti")
 
 
-def _hashes(words: Column, k: int, stride: int) -> Column:
-    at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - (k - 1), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.slice(words, i, k)))
-
-
-def _slices(tagged: Column, template: Column, k: Column) -> Column:
-    """(position, hash, template words, tagged words) of each window of k words."""
-    at = F.when((k > 0) & (F.size(template) >= k), F.sequence(F.lit(1), F.size(template) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i, k)).alias("h"), F.slice(template, i, k).alias("words"), F.slice(tagged, i, k).alias("values")))
+def _probes(words: Column, k: int, reading: int) -> Column:
+    length, kind = F.lit(k), F.lit(reading)
+    return F.transform(_starts(words, length, kind), lambda i: _hash(words, i, length, kind))
 
 
 def _index(benchmark: DataFrame, window: int) -> DataFrame:
     """(reading, item_id, k, q, h, words, item_values): an item's windows."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))
-    items = items.select("item_id", F.posexplode(F.array(*_readings(F.col("text")))).alias("reading", "tagged"))
-    items = items.select("reading", "item_id", _words(F.col("tagged")).alias("tagged"), _words(_template(F.col("tagged"))).alias("template")).withColumn("k", F.least(F.lit(window), F.size("template")))
-    windows = items.select("reading", "item_id", "k", F.inline(_slices(F.col("tagged"), F.col("template"), F.col("k"))))
-    literal = F.size(F.filter("words", lambda w: ~w.isin(NUMBER, NAME, UNIT)))
-    return windows.filter(literal >= F.least(F.lit(LITERALS), F.col("k"))).select("reading", "item_id", "k", F.col("at").alias("q"), "h", "words", F.col("values").alias("item_values"))
-
-
-def _judge(candidates: DataFrame, index: DataFrame, used: list[tuple[int, int]], similarity: float, few: bool = True) -> DataFrame:
-    """The result for these documents; used: the readings and their window lengths."""
+    items = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.min("text").alias("text"))
+    items = items.select("item_id", F.posexplode(F.array(*_tagged(F.col("text")))).alias("reading", "tagged"))
+    words = F.size("tagged")
+    windows = _windows(items.withColumn("k", F.when(F.col("reading") == PLAIN, words).otherwise(F.least(F.lit(window), words))), "item_id")
+    literal = F.size(F.filter("words", lambda w: ~_is_tag(w)))
+    lettered = F.exists("words", lambda w: w.rlike(r"\p{L}"))
+    windows = windows.filter(F.when(F.col("reading") == PLAIN, lettered).otherwise((literal >= LITERALS) & (F.col("k") >= PLAIN_WORDS)))
+    # Plain words stand in only for items that no other reading has.
+    first = F.min("reading").over(Window.partitionBy("item_id"))
+    windows = windows.withColumn("first", first).filter((F.col("reading") != PLAIN) | (F.col("first") == PLAIN))
+    return windows.select("reading", "item_id", "k", F.col("at").alias("q"), "h", "words", F.col("values").alias("item_values"))
+
+
+def _judge(rows: DataFrame, index: DataFrame, pairs: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """The result for these pairs (reading, doc_id, item_id, k)."""
     pair = ["reading", "doc_id", "item_id"]
-    sizes = index.groupBy("reading", "item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    tagged = candidates.select("doc_id", F.posexplode(F.array(*_readings(F.col("text")))).alias("reading", "tagged"))
-    words = tagged.select("reading", "doc_id", _words(F.col("tagged")).alias("tagged"), _words(_template(F.col("tagged"))).alias("template"))
-    ks = {i: F.array(*[F.lit(k) for j, k in used if j == i]) for i, _ in used}
-    lengths = F.coalesce(*[F.when(F.col("reading") == i, a) for i, a in ks.items()])
-    words = words.withColumn("k", F.explode(lengths))
-    windows = words.select("reading", "doc_id", "k", F.inline(_slices(F.col("tagged"), F.col("template"), F.col("k")))).withColumnRenamed("words", "doc_words")
-    small = F.broadcast(index) if few else index
-    matched = windows.join(small, ["reading", "h", "k"]).filter(F.col("doc_words") == F.col("words")).select(*pair, "q", (F.col("at") - F.col("q")).alias("offset"), F.arrays_zip("item_values", "values").alias("slots"))
-    slots = F.filter("slots", lambda s: F.substring(s["item_values"], 1, 1).isin(NUMBER, NAME, UNIT))
+    ids = checkpoint(pairs.select("doc_id").distinct())
+    candidates = rows.join(_small(ids), "doc_id", "left_semi")
+    tagged = candidates.select("doc_id", F.posexplode(F.array(*_tagged(F.col("text")))).alias("reading", "tagged"))
+    asked = pairs.groupBy("reading", "doc_id").agg(F.collect_set("k").alias("ks"))  # window lengths, at most as many as there are
+    windows = _windows(tagged.join(asked, ["reading", "doc_id"]).select("reading", "doc_id", F.explode("ks").alias("k"), "tagged"), "doc_id").withColumnRenamed("words", "doc_words")
+    wanted = pairs.join(index, ["reading", "item_id", "k"])
+    matched = windows.join(wanted, ["reading", "doc_id", "k", "h"]).filter(F.col("doc_words") == F.col("words"))
+    matched = matched.select(*pair, "q", (F.col("at") - F.col("q")).alias("offset"), F.arrays_zip("item_values", "values").alias("slots"))
+    slots = F.filter("slots", lambda s: (F.col("reading") != PLAIN) & _is_tag(F.substring(s["item_values"], 1, 1)))
     matched = checkpoint(matched.withColumn("slots", slots))
-    whole = matched.groupBy(*pair).agg(F.count_distinct("q").alias("n_matched")).join(F.broadcast(sizes) if few else sizes, ["reading", "item_id"])
+    whole = matched.groupBy(*pair).agg(F.count_distinct("q").alias("n_matched")).join(sizes, ["reading", "item_id"])
     whole = whole.withColumn("similarity", F.col("n_matched") / F.col("n_windows")).filter(F.col("similarity") >= similarity)
     offsets = matched.groupBy(*pair, "offset").agg(F.count_distinct("q").alias("n"))
     best = offsets.groupBy(*pair).agg(F.min(F.struct((-F.col("n")).alias("n"), "offset")).alias("best")).select(*pair, F.col("best.offset").alias("offset"))
