@@ -41,7 +41,7 @@ _CAPITAL = r"^\p{Lu}\p{Ll}"
 
 
 def _split(text: Column) -> Column:
-    return F.filter(F.split(text, _BREAK), lambda w: w != "")
+    return F.array_remove(F.split(text, _BREAK), "")
 
 
 def _typed(text: Column) -> Column:
@@ -56,19 +56,19 @@ def _valued(text: Column) -> Column:
 
 
 def _plain(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), "")
 
 
-def _templates(text: Column) -> list[Column]:
-    """A text's template words in each reading."""
-    words = _typed(text)
-    return [F.transform(words, lambda w: F.when(w.rlike(_CAPITAL), F.lit(NAME)).otherwise(F.lower(w))), F.transform(words, F.lower), _plain(text)]
+def _named(words: Column, name) -> Column:
+    """Words in lower case, capitalised ones by name(word)."""
+    foreign = lambda w: (w < "a") | (w >= "{")  # noqa: E731  what begins with a-z needs no pattern
+    return F.transform(words, lambda w: F.when(foreign(w) & w.rlike(_CAPITAL), name(w)).otherwise(F.lower(w)))
 
 
 def _tagged(text: Column) -> list[Column]:
     """A text's words in each reading, with values behind the tags."""
     words = _valued(text)
-    return [F.transform(words, lambda w: F.when(w.rlike(_CAPITAL), F.concat(F.lit(NAME), F.lower(w))).otherwise(F.lower(w))), F.transform(words, F.lower), _plain(text)]
+    return [_named(words, lambda w: F.concat(F.lit(NAME), F.lower(w))), F.transform(words, F.lower), _plain(text)]
 
 
 def _is_tag(first: Column) -> Column:
@@ -87,15 +87,11 @@ def _starts(words: Column, k: Column, reading: Column | None = None) -> Column:
     return F.when(fits, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _hash(words: Column, at: Column, k: Column, reading: Column) -> Column:
-    return F.xxhash64(reading, F.slice(words, at, k))
-
-
 def _windows(rows: DataFrame, *keys: str) -> DataFrame:
     """(reading, k, keys, at, h, words, values) of rows with reading, k and tagged."""
     rows = rows.withColumn("template", _template(F.col("tagged")))
     reading, k, template, tagged = (F.col(c) for c in ("reading", "k", "template", "tagged"))
-    each = F.transform(_starts(template, k, reading), lambda i: F.struct(i.alias("at"), _hash(template, i, k, reading).alias("h"), F.slice(template, i, k).alias("words"), F.slice(tagged, i, k).alias("values")))
+    each = F.transform(_starts(template, k, reading), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i, k)).alias("h"), F.slice(template, i, k).alias("words"), F.slice(tagged, i, k).alias("values")))
     return rows.select("reading", "k", *keys, F.inline(each))
 
 
@@ -129,11 +125,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     anchors = ranked.filter(F.col("place") <= F.floor(F.col("n_windows") * (1 - similarity) + 1e-9) + 1)
     anchors = checkpoint(anchors.select("h", "reading", "item_id", "k").distinct())
     used = sorted((r["reading"], r["k"]) for r in anchors.select("reading", "k").distinct().collect())  # few: window lengths
-    templates = _templates(F.col("text"))
-    words = rows.select("doc_id", *[templates[i].alias(f"words{i}") for i in sorted({i for i, _ in used})])
-    none = F.array().cast("array<bigint>")
-    hashes = [_probes(F.col(f"words{i}"), k, i) for i, k in used]
-    probes = words.select("doc_id", F.explode(F.concat(*hashes) if hashes else none).alias("h"))
+    probes = rows.select("doc_id", F.lit(0).cast("long").alias("h")).limit(0)
+    for plain in (False, True):
+        if any((i == PLAIN) == plain for i, _ in used):
+            probes = probes.union(_probes(rows, [(i, k) for i, k in used if (i == PLAIN) == plain]))
     pairs = checkpoint(probes.join(_small(anchors), "h").select("reading", "doc_id", "item_id", "k").distinct())
     return _judge(rows, index, pairs, sizes, similarity)
 
@@ -144,9 +139,26 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     return docs.join(found, docs[id_col] == found["_held"], "left_anti")
 
 
-def _probes(words: Column, k: int, reading: int) -> Column:
-    length, kind = F.lit(k), F.lit(reading)
-    return F.transform(_starts(words, length, kind), lambda i: _hash(words, i, length, kind))
+def _hashes(words: Column, k: int) -> Column:
+    return F.transform(_starts(words, F.lit(k), F.lit(PLAIN)), lambda i: F.xxhash64(F.slice(words, i, k)))
+
+
+def _probes(rows: DataFrame, used: list[tuple[int, int]]) -> DataFrame:
+    """(doc_id, h) of all windows of these readings and lengths; the readings are all PLAIN or none is."""
+    if used[0][0] == PLAIN:
+        words = rows.select("doc_id", _plain(F.col("text")).alias("w"))
+        hashes = [_hashes(F.col("w"), k) for _, k in used]
+        return words.select("doc_id", F.explode(F.concat(*hashes)).alias("h"))
+    words = rows.select("doc_id", _typed(F.col("text")).alias("w"))
+    words = words.select("doc_id", _named(F.col("w"), lambda w: F.lit(NAME)).alias(f"w{NAMES}"), F.transform("w", F.lower).alias(f"w{LOWER}"))
+    # The words of a window side by side, so that generated code hashes them; the hash of columns is that of an array, and skips nulls.
+    width, windows = max(k for _, k in used), []
+    for i, k in used:
+        own, n = F.col(f"w{i}"), F.greatest(F.size(f"w{i}") - (k - 1), F.lit(0))
+        columns = [F.slice(own, j + 1, n) if j < k else F.array_repeat(F.lit(None).cast("string"), n) for j in range(width)]
+        windows.append(F.arrays_zip(*[c.alias(f"c{j}") for j, c in enumerate(columns)]))
+    each = words.select("doc_id", F.inline(F.concat(*windows)))
+    return each.select("doc_id", F.xxhash64(*each.columns[1:]).alias("h"))
 
 
 def _index(benchmark: DataFrame, window: int) -> DataFrame:
@@ -172,6 +184,7 @@ def _judge(rows: DataFrame, index: DataFrame, pairs: DataFrame, sizes: DataFrame
     tagged = candidates.select("doc_id", F.posexplode(F.array(*_tagged(F.col("text")))).alias("reading", "tagged"))
     asked = pairs.groupBy("reading", "doc_id").agg(F.collect_set("k").alias("ks"))  # window lengths, at most as many as there are
     windows = _windows(tagged.join(asked, ["reading", "doc_id"]).select("reading", "doc_id", F.explode("ks").alias("k"), "tagged"), "doc_id").withColumnRenamed("words", "doc_words")
+    windows = windows.join(_small(checkpoint(index.select("h").distinct())), "h", "left_semi")
     wanted = pairs.join(index, ["reading", "item_id", "k"])
     matched = windows.join(wanted, ["reading", "doc_id", "k", "h"]).filter(F.col("doc_words") == F.col("words"))
     matched = matched.select(*pair, "q", (F.col("at") - F.col("q")).alias("offset"), F.arrays_zip("item_values", "values").alias("slots"))
