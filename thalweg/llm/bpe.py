@@ -1,5 +1,8 @@
 """Byte-level BPE by merge replay over a corpus.
 
+The corpus of a replay is a worker's block of texts; a worker remembers the pieces of earlier blocks, within bounds.  No
+shuffle makes pieces distinct across workers: a frequent piece is replayed once for a worker, not once for the corpus.
+
 The distinct pieces of many texts are laid end to end as one sequence of byte tokens.  An inverted index leads from the
 rank of a token pair to the positions where it stands; a heap hands out the ranks that occur, lowest first, and each is
 merged at all of its positions at once, touching only the two neighbours.  Every piece thus sees its own merges in rank
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NONE = 1 << 30  # the rank of a pair that doesn't merge
-#: Characters of text whose new pieces are replayed together, and encoded pieces that a worker keeps: both bound memory.
-REPLAY_CHARS, KEPT_PIECES = 8_000_000, 600_000
+#: Characters of text whose new pieces are replayed together, and encoded pieces that a worker keeps and their bytes: all bound memory.
+REPLAY_CHARS, KEPT_PIECES, KEPT_BYTES = 8_000_000, 600_000, 32_000_000
+#: Longer pieces have merges of their own: in a replay, merges that wait for one another within a piece are passed over again and again.
+LONG_PIECE = 1_000
 
 
 class Replay:
@@ -39,6 +44,7 @@ class Replay:
         joined.sort()
         self.pairs = np.array([k for k, _ in joined], dtype=np.int64)
         self.into = np.array([i for _, i in joined], dtype=np.int64)
+        self.merges: dict[int, int] = {}
         # Tokens after whose creation a pair with a lower rank can appear: their merges go one at a time within a piece.
         self.returning = {ranks[p] for t, i in ranks.items() for k in range(1, len(t)) for p in (t[:k], t[k:]) if p in ranks and ranks[p] > i}
 
@@ -49,6 +55,9 @@ class Replay:
 
     def encode(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The token ids of each piece."""
+        if any(len(p) > LONG_PIECE for p in pieces):
+            short = iter(self.encode([p for p in pieces if len(p) <= LONG_PIECE]))
+            return [next(short) if len(p) <= LONG_PIECE else self.encode_long(p) for p in pieces]
         if not pieces:
             return []
         sizes = np.array([len(p) for p in pieces], dtype=np.int64)
@@ -123,6 +132,37 @@ class Replay:
         ends = np.cumsum(np.bincount(piece[alive], minlength=len(pieces)))
         return np.split(token[alive], ends[:-1])
 
+    def encode_long(self, piece: bytes) -> np.ndarray:
+        """The token ids of one piece, by a heap of its pairs: n log n steps, whatever the piece."""
+        if not self.merges:
+            self.merges = dict(zip(self.pairs.tolist(), self.into.tolist(), strict=True))
+        first = self.byte_ids[np.frombuffer(piece, dtype=np.uint8)]
+        n, size, merges = len(first), self.size, self.merges
+        token, after, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        rank = [*self.pair_ranks(first[:-1], first[1:]).tolist(), NONE]  # of the pair that begins here
+        heap = [r * n + i for i, r in enumerate(rank) if r < NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, i = divmod(heapq.heappop(heap), n)
+            if rank[i] != r:
+                continue
+            gone = after[i]
+            token[i], after[i], rank[gone] = r, after[gone], NONE
+            ends = [(before[i], i)] if before[i] >= 0 else []
+            rank[i] = NONE
+            if after[i] < n:
+                before[after[i]] = i
+                ends.append((i, after[i]))
+            for a, b in ends:
+                rank[a] = merges.get(token[a] * size + token[b], NONE)
+                if rank[a] < NONE:
+                    heapq.heappush(heap, rank[a] * n + a)
+        out, i = [], 0
+        while i < n:
+            out.append(token[i])
+            i = after[i]
+        return np.array(out, dtype=np.int64)
+
     @staticmethod
     def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
         """Positions without those that overlap the one before: from left to right, every other one of a chain."""
@@ -157,10 +197,11 @@ class Encoder:
         self.said: list[str] = []
         self.counts: list[int] = []
         self.decoded: list[bytes] = []
+        self.held = 0
 
     def encode_block(self, texts: list[str]) -> list[list[int]]:
         """For each text the places of its pieces, after encoding those that are new."""
-        if len(self.place) > KEPT_PIECES:
+        if len(self.place) > KEPT_PIECES or self.held > KEPT_BYTES:
             self.forget()
         place, known = self.place, len(self.place)
         found = []
@@ -178,6 +219,7 @@ class Encoder:
             self.counts.append(len(ids))
             self.said.append(" ".join(map(str, ids)))
             self.decoded.append(b"".join(map(bytes_of.__getitem__, ids)))
+            self.held += len(self.decoded[-1])
         return found
 
     def tokens(self, places) -> list[int]:
@@ -189,7 +231,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     Returns a row for each row: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256 (of
     the decoded bytes); with with_ids also ids (array<int>), with with_decoded also decoded (string).  Null and empty texts have no tokens.
-    No string is special.  Columns other than the two named are ignored; repeated rows give repeated rows.
+    No string is special; very long words are encoded like any, in n log n steps.  Columns other than the two named are ignored; repeated rows give repeated rows.
 
     ranks_path is read by the driver; its content (under 1 MB for 50,000 tokens) goes to the executors with the plan.
     """
