@@ -3,9 +3,13 @@
 A window is `window` consecutive words of a document; any window holds a whole block of half as many words that begins
 at a multiple of the block's length.  (1) These non-overlapping reference blocks are indexed by hash, every rolling
 block probes the index, and blocks that stand at two places or more are hits.  (2) Windows around hits are extended to
-exact repeats: a 96-bit digest of all of their words is compared, and the earliest place of each window survives.
+exact repeats: a 128-bit digest of all of their words is compared, and the earliest place of each window survives.
 (3) Words covered by a surviving window's later repeats go.
 
+Hashes are dealt to parts of a bounded number of words.  A map task deals a slice of text to FAN parts at most; where
+there are more, tasks that take the parts' rows merge and deal them again, each part to FAN finer ones, until the parts
+are as small as they should be.  So a slice costs the same however many parts there are, and rows stay long.
+
 What moves between machines is packed by map tasks into sorted byte planes, a few bytes for a block, and each task sends
 a block or window once, however often it stands in its documents; so a passage that fills a third of the corpus brings
 as many entries to a reducer as there are map blocks.  Exact copies of whole documents are recognised first, and only
@@ -30,6 +34,8 @@ WINDOW = 20
 HASH_BITS = 52
 #: Bytes of text that a worker takes at a time, words of the corpus for each packed part, words that a worker keeps hashes of.
 SLICE_BYTES, PART_WORDS, CACHE = 4_000_000, 2_000_000, 250_000
+#: Parts that a slice or a part is dealt to at most, and packed hashes that are dealt again together.
+FAN, DEAL_HASHES = 512, 4_000_000
 ALL = -1  # as a start: the whole document is a copy
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -93,6 +99,22 @@ def _part(hashes: np.ndarray, bits: int, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(bits - 31)) * np.uint64(parts)) >> np.uint64(31)
 
 
+def _levels(parts: int) -> list[int]:
+    """Numbers of parts, each a multiple of the one before by FAN at most; the last is `parts` or more."""
+    out = [min(parts, FAN)]
+    while out[-1] < parts:
+        out.append(out[-1] * min(FAN, -(-parts // out[-1])))
+    return out
+
+
+def _cuts(parts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(part, start, end) of each part in a sorted array of them, of those that occur only."""
+    if not len(parts):
+        return []
+    edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(parts)]
+    return [(int(parts[a]), a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
 def _slices(batches):
     """Batches cut to about SLICE_BYTES of text each, a row at least, with text as binary."""
     for batch in batches:
@@ -150,29 +172,36 @@ def _index_blocks(batches, block: int, parts: int):
         rolling, counts = np.unique(hashes[whole], return_counts=True)
         anchors = whole[at[whole] % block == 0]
         anchors = anchors[np.argsort(hashes[anchors], kind="stable")]
-        of_part = [np.searchsorted(_part(h, HASH_BITS, parts), np.arange(parts + 1)) for h in (rolling, hashes[anchors])]
-        rows = []
-        for p in range(parts):
-            a, b = of_part[0][p : p + 2]
-            c, d = of_part[1][p : p + 2]
-            if b > a:
-                ref = anchors[c:d]
-                rows.append((p, _pack_sorted(rolling[a:b]), np.packbits(counts[a:b] > 1).tobytes(), _pack_sorted(hashes[ref]), pack(_signed(ids[text[ref]])), pack(at[ref] // block)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 5], strict=True)], names=["part", "rolling", "repeated", "refs", "docs", "blocks"])
+        yield _deal_blocks(rolling, counts > 1, hashes[anchors], _signed(ids[text[anchors]]), at[anchors] // block, parts)
+
+
+_BLOCKS = ["part", "rolling", "repeated", "refs", "docs", "blocks"]
+
+
+def _deal_blocks(rolling: np.ndarray, repeated: np.ndarray, refs: np.ndarray, docs: np.ndarray, blocks: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each part that occurs; rolling and refs (with docs and blocks) are sorted."""
+    rows, none = [], (0, 0, 0)
+    of_refs = {p: (p, c, d) for p, c, d in _cuts(_part(refs, HASH_BITS, parts))}
+    for p, a, b in _cuts(_part(rolling, HASH_BITS, parts)):
+        _, c, d = of_refs.get(p, none)
+        rows.append((p, _pack_sorted(rolling[a:b]), np.packbits(repeated[a:b]).tobytes(), _pack_sorted(refs[c:d]), pack(docs[c:d]), pack(blocks[c:d])))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), *[pa.binary()] * 5], strict=True)], names=_BLOCKS)
+
+
+def _gather_blocks(columns: dict[str, list]) -> tuple[np.ndarray, ...]:
+    """Rolling hashes, which of them stand more than once in their row, reference hashes, docs and blocks of packed rows."""
+    rolling = [_unpack_sorted(x) for x in columns["rolling"]]
+    repeated = np.concatenate([np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(r)) for m, r in zip(columns["repeated"], rolling, strict=True)])
+    return np.concatenate(rolling), repeated, np.concatenate([_unpack_sorted(x) for x in columns["refs"]]), *(np.concatenate([unpack(x) for x in columns[n]]) for n in ("docs", "blocks"))
 
 
 def _match_blocks(table: pa.Table) -> pa.Table:
     """Reference blocks of a part that stand at two places or more: (doc_id, block)."""
-    columns = {n: table.column(n).to_pylist() for n in table.column_names}
-    rolling = [_unpack_sorted(x) for x in columns["rolling"]]
-    weight = np.concatenate([1 + np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(r)) for m, r in zip(columns["repeated"], rolling, strict=True)])
-    hashes = np.concatenate(rolling)
-    del rolling
+    hashes, repeated, refs, docs, blocks = _gather_blocks({n: table.column(n).to_pylist() for n in _BLOCKS})
     order = np.argsort(hashes)
-    hashes, total = hashes[order], np.concatenate(([0], np.cumsum(weight[order], dtype=np.int64)))
-    refs = np.concatenate([_unpack_sorted(x) for x in columns["refs"]])
+    hashes, total = hashes[order], np.concatenate(([0], np.cumsum(1 + repeated[order].astype(np.int64))))
     found = total[np.searchsorted(hashes, refs, side="right")] - total[np.searchsorted(hashes, refs, side="left")] > 1
-    docs, blocks = (np.concatenate([unpack(x) for x in columns[n]])[found] for n in ("docs", "blocks"))
+    docs, blocks = docs[found], blocks[found]
     return pa.table({"doc_id": pa.array(_ids(docs), pa.int64()), "block": pa.array(blocks.astype(np.int32), pa.int32())})
 
 
@@ -193,42 +222,100 @@ def _candidate_windows(batches, window: int, block: int, parts: int):
         if not len(start):
             continue
         first, second = _rolling(words, window, _K1)[start], _rolling(_mix(words ^ _K3), window, _K2)[start]
-        first, second = _mix(first), _mix(second) >> np.uint64(32)
+        first, second = _mix(first), _mix(second)
         doc, place = ids[text[start]], at[start]
         order = np.lexsort((place, doc, second, first))
         first, second, doc, place = first[order], second[order], doc[order], place[order]
         lead, again = _first_and_later(first, second, doc, place)
         rows = []
         if again.any():
-            of = (_mix(doc[again].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            for p in np.unique(of).tolist():
-                here = of == p
-                rows.append((p, None, None, pack(_signed(doc[again][here])), pack(place[again][here])))
-        first, second, doc, place = first[lead], second[lead], doc[lead], place[lead]
-        cuts = np.searchsorted(_part(first, 64, parts), np.arange(parts + 1))
-        for p in range(parts):
-            a, b = cuts[p : p + 2]
-            if b > a:
-                rows.append((p, _pack_sorted(first[a:b]), pack(second[a:b]), pack(_signed(doc[a:b])), pack(place[a:b])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), *[pa.binary()] * 4], strict=True)], names=["part", "first", "second", "docs", "starts"])
+            rows += _deal_later(doc[again], place[again], parts)
+        rows += _deal_windows(first[lead], second[lead], doc[lead], place[lead], parts)
+        yield _window_rows(rows)
 
 
-def _later_windows(table: pa.Table, parts: int) -> pa.Table:
-    """Windows that stand earlier as well, packed by a hash of their documents: (part, docs, starts)."""
-    columns = {n: table.column(n).to_pylist() for n in table.column_names}
+def _deal_windows(first: np.ndarray, second: np.ndarray, doc: np.ndarray, place: np.ndarray, parts: int) -> list[tuple]:
+    """A row for each part that occurs; windows are sorted by digest."""
+    return [(p, _pack_sorted(first[a:b]), pack(second[a:b]), pack(_signed(doc[a:b])), pack(place[a:b])) for p, a, b in _cuts(_part(first, 64, parts))]
+
+
+def _deal_later(doc: np.ndarray, place: np.ndarray, parts: int) -> list[tuple]:
+    """Windows known to repeat, a row for each part of their documents' hashes that occurs."""
+    of = _part(_mix(doc.view(np.uint64)), 64, parts)
+    order = np.lexsort((place, doc, of))
+    doc, place = doc[order], place[order]
+    return [(p, None, None, pack(_signed(doc[a:b])), pack(place[a:b])) for p, a, b in _cuts(of[order])]
+
+
+def _window_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.binary()] * 4], strict=True)], names=["part", "first", "second", "docs", "starts"])
+
+
+def _gather_windows(columns: dict[str, list]) -> tuple[np.ndarray, ...]:
+    """Digests, docs and places of the packed rows that have digests, sorted by them, and docs and places of the others."""
     own = [x is not None for x in columns["first"]]
     take = lambda n, keep, read=unpack: np.concatenate([read(x) for x, k in zip(columns[n], own, strict=True) if k == keep] or [np.zeros(0, dtype=np.uint64)])
     first, second, doc, place = take("first", True, _unpack_sorted), take("second", True), _ids(take("docs", True)), take("starts", True)
     order = np.lexsort((place, doc, second, first))
-    first, second, doc, place = first[order], second[order], doc[order], place[order]
+    return first[order], second[order], doc[order], place[order], _ids(take("docs", False)), take("starts", False)
+
+
+def _dealt_again(batches, deal):
+    """Rows sorted by part, those of a part merged as long as they are few enough, and dealt to finer parts by deal(columns)."""
+    held, size, part = {}, 0, None
+    for batch in batches:
+        columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        for k, p in enumerate(columns["part"]):
+            if held and (p != part or size >= DEAL_HASHES):
+                yield deal(held)
+                held, size = {}, 0
+            part = p
+            for n, values in columns.items():
+                held.setdefault(n, []).append(values[k])
+            size += sum(len(v[k] or b"") for n, v in columns.items() if n not in ("part", "salt")) // 8
+    if held:
+        yield deal(held)
+
+
+def _deal_blocks_again(columns: dict[str, list], parts: int) -> pa.RecordBatch:
+    hashes, repeated, refs, docs, blocks = _gather_blocks(columns)
+    order = np.argsort(hashes)
+    hashes, often = hashes[order], 1 + repeated[order].astype(np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    own = np.argsort(refs, kind="stable")
+    return _deal_blocks(hashes[starts], np.add.reduceat(often, starts) > 1, refs[own], docs[own], blocks[own], parts)
+
+
+def _deal_windows_again(columns: dict[str, list], parts: int) -> pa.RecordBatch:
+    first, second, doc, place, later_doc, later_place = _gather_windows(columns)
+    lead, again = _first_and_later(first, second, doc, place)
+    rows = _deal_windows(first[lead], second[lead], doc[lead], place[lead], parts)
+    return _window_rows(rows + _deal_later(np.concatenate((doc[again], later_doc)), np.concatenate((place[again], later_place)), parts))
+
+
+def _deal_later_again(columns: dict[str, list], parts: int) -> pa.RecordBatch:
+    doc, place = (np.concatenate([unpack(x) for x in columns[n]]) for n in ("docs", "starts"))
+    rows = _deal_later(_ids(doc), place, parts)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int64()), (3, pa.binary()), (4, pa.binary()))], names=["part", "docs", "starts"])
+
+
+def _to_parts(packed: DataFrame, levels: list[int], deal) -> DataFrame:
+    """Packed rows of the first level's parts, dealt again to those of the last; the rows of a part are spread over tasks by a salt."""
+    n, schema = partitions(packed.sparkSession), packed.schema
+    for coarse, fine in zip(levels[:-1], levels[1:], strict=True):
+        salted = packed.withColumn("salt", F.pmod(F.xxhash64(*packed.columns[1:]), F.lit(max(1, n // coarse))))
+        dealt = salted.repartition(n, "part", "salt").sortWithinPartitions("part")
+        packed = dealt.mapInArrow(lambda b, fine=fine: _dealt_again(b, lambda c: deal(c, fine)), schema)
+    return packed
+
+
+def _later_windows(table: pa.Table, parts: int) -> pa.Table:
+    """Windows that stand earlier as well, packed by a hash of their documents: (part, docs, starts)."""
+    first, second, doc, place, later_doc, later_place = _gather_windows({n: table.column(n).to_pylist() for n in table.column_names})
     again = _first_and_later(first, second, doc, place)[1]
-    doc, place = np.concatenate((doc[again], _ids(take("docs", False)))), np.concatenate((place[again], take("starts", False)))
-    of = (_mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((place, doc, of))
-    doc, place, of = doc[order], place[order], of[order]
-    cuts = np.searchsorted(of, np.arange(parts + 1))
-    rows = [(p, pack(_signed(doc[a:b])), pack(place[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-    return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("part", pa.int32()), ("docs", pa.binary()), ("starts", pa.binary())))})
+    rows = _deal_later(np.concatenate((doc[again], later_doc)), np.concatenate((place[again], later_place)), parts)
+    return pa.table({n: pa.array([r[i] for r in rows], t) for i, n, t in ((0, "part", pa.int64()), (3, "docs", pa.binary()), (4, "starts", pa.binary()))})
 
 
 def _of_documents(table: pa.Table) -> pa.Table:
@@ -291,20 +378,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = rows.filter(F.col("doc_id").isNotNull())
     known = checkpoint(named.mapInArrow(_documents, "doc_id long, n_words long, digest binary"))
     total = known.agg(F.sum("n_words")).first()[0] or 0
-    parts = max(2 * partitions(spark), int(total // PART_WORDS))
+    levels = _levels(max(2 * partitions(spark), int(total // PART_WORDS)))
+    coarse, parts = levels[0], levels[-1]
 
     # Of documents with the same words, only the earliest one takes part from here on.
     long = known.filter(F.col("n_words") >= window)
     earliest = checkpoint(long.groupBy("digest", "n_words").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
     copies = long.select("doc_id").distinct().join(earliest, "doc_id", "left_anti")
 
-    packed = named.mapInArrow(lambda b: _index_blocks(b, block, parts), "part int, rolling binary, repeated binary, refs binary, docs binary, blocks binary")
-    hits = packed.groupBy("part").applyInArrow(_match_blocks, "doc_id long, block int")
+    packed = named.mapInArrow(lambda b: _index_blocks(b, block, coarse), "part long, rolling binary, repeated binary, refs binary, docs binary, blocks binary")
+    hits = _to_parts(packed, levels, _deal_blocks_again).groupBy("part").applyInArrow(_match_blocks, "doc_id long, block int")
     of_doc = hits.join(earliest, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("block").alias("blocks"))  # a document's blocks at most
 
     # Both joins with the texts deal them out by doc_id in the same way, so the second reuses the first one's exchange.
-    windows = named.join(of_doc, "doc_id").select("doc_id", "text", "blocks").mapInArrow(lambda b: _candidate_windows(b, window, block, parts), "part int, first binary, second binary, docs binary, starts binary")
-    later = windows.groupBy("part").applyInArrow(lambda t: _later_windows(t, parts), "part int, docs binary, starts binary")
+    windows = named.join(of_doc, "doc_id").select("doc_id", "text", "blocks").mapInArrow(lambda b: _candidate_windows(b, window, block, coarse), "part long, first binary, second binary, docs binary, starts binary")
+    # A part's later windows go to at most FAN coarse parts of documents' hashes, and from there to finer ones.
+    later = _to_parts(windows, levels, _deal_windows_again).groupBy("part").applyInArrow(lambda t: _later_windows(t, coarse), "part long, docs binary, starts binary")
+    later = _to_parts(later, levels, _deal_later_again)
     removed = later.groupBy("part").applyInArrow(_of_documents, "doc_id long, starts array<int>").union(copies.select("doc_id", F.array(F.lit(ALL)).alias("starts")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     judged = named.join(removed, "doc_id", "left").select("doc_id", "text", "starts")
