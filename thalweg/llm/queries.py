@@ -55,7 +55,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(read(spark, sf_dir, "documents"))
+    return sharding.shard_documents(read(spark, sf_dir, "documents"), keep=sharding.KEEP)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
