@@ -17,9 +17,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where none is configured, as in tests."""
+    """The folder that driver and executors share; a temporary one of our own only in one process, as in tests.
+
+    On a cluster that names none this is a ValueError: a folder of one machine would lose data without a word.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
@@ -37,6 +42,17 @@ def checkpoint(df: DataFrame, shrink: int = 1) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named _0, _1, ...: names that clash, in any case, no longer do."""
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+
+def picked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text), by exact names, whatever other columns are called."""
+    at = docs.columns.index
+    return numbered(docs).select(F.col(f"_{at(id_col)}").alias("doc_id"), F.col(f"_{at(text_col)}").alias("text"))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z become a-z; other letters stay as they are."""
     return F.translate(text, UPPER, LOWER)

@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hash values that a sample is drawn from.
-BUCKETS = 1 << 20
+from .common import checkpoint, picked
+
+#: Hash values that a sample is drawn from, and bytes of text that are drawn at most.
+BUCKETS, TRAIN_BYTES = 1 << 20, 64_000_000
 
 
 def remainder(doc_id, folds: int):
@@ -15,12 +17,13 @@ def remainder(doc_id, folds: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int) -> tuple[list[str], np.ndarray]:
-    """At most about `rows` whole texts and labels of training rows, drawn by a hash of doc_id, in the order of doc_id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, train_bytes: int = TRAIN_BYTES) -> tuple[list[str], np.ndarray]:
+    """At most about `rows` whole texts, of train_bytes together, and their labels, drawn by a hash of doc_id, in the order of doc_id.
 
     Held-out rows (crc32(doc_id as text) mod folds = held_out), null ids, null labels and labels other than 0 and 1 never
     enter.  The sample is drawn from all labels alike, so it represents any size; its bound keeps the driver's memory.
-    Repeated texts enter once, with the larger label.
+    Of rows that share a doc_id the smallest text enters; texts that do not fit the bytes any more are passed over, in
+    the order of the hash.  Repeated texts enter once, with the larger label.
     """
     train = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held_out))
     total = train.count()
@@ -28,9 +31,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         return [], np.zeros(0, dtype=np.int64)
     share = int(min(1.0, rows / total) * BUCKETS)
     drawn = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)) < share).groupBy("doc_id").agg(F.max("y").alias("y"))
-    texts = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text").collect()  # bounded by `rows`
+    texts = picked(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # as many as `rows`
+    found = checkpoint(found.withColumn("bytes", F.octet_length("text")).withColumn("at", F.xxhash64("doc_id")))
+    left, out = train_bytes, []
+    for r in sorted(found.select("doc_id", "at", "bytes").collect(), key=lambda r: (r["at"], r["doc_id"])):
+        if r["bytes"] <= left:
+            left -= r["bytes"]
+            out.append(r["doc_id"])
+    if len(out) < found.count():
+        fitting = docs.sparkSession.createDataFrame([(i,) for i in out], found.select("doc_id").schema)
+        found = found.join(F.broadcast(fitting), "doc_id", "left_semi")
     once: dict[str, int] = {}
-    for r in sorted(found, key=lambda r: (r["doc_id"], r["text"])):
+    for r in sorted(found.select("doc_id", "y", "text").collect(), key=lambda r: (r["doc_id"], r["text"])):
         once[r["text"]] = max(r["y"], once.get(r["text"], 0))
     return list(once), np.fromiter(once.values(), dtype=np.int64, count=len(once))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import numbered
 from .labelled import labelled_sample, remainder
 
 FOLDS, HELD_OUT = 4, 2
@@ -131,15 +132,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
 
     The model is fitted on at most train_rows labelled texts, none of them held out; ids, lang, source and labels are no
     features.  Null and empty texts have only the length feature and are scored like any; a null doc_id is not held
-    out.  Columns of docs named held_out, score or predicted are replaced; repeated rows are scored each.
+    out.  Columns of docs named held_out, score or predicted, in any case, are replaced; repeated rows are scored each.
     """
     weights, bias = fit_quality(docs, labels, label, folds, held_out, train_rows)
     return apply_scores(docs, lambda: _scorer(weights, bias), folds, held_out, threshold)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier accepts, with all their columns."""
-    return quality_scores(docs, labels).filter("predicted = 1").select(*docs.columns)
+    """The rows that the classifier accepts, with all their columns as they are, whatever their names."""
+    weights, bias = fit_quality(docs, labels)
+    scored = with_scores(docs, lambda: _scorer(weights, bias))
+    return scored.filter(F.col("_score") >= THRESHOLD).drop("_score").toDF(*docs.columns)
 
 
 def _scorer(weights: np.ndarray, bias: float):
@@ -147,18 +150,23 @@ def _scorer(weights: np.ndarray, bias: float):
     return lambda texts: [score(t, weights, bias, cache) for t in texts]
 
 
-def apply_scores(docs: DataFrame, make, folds: int, held_out: int, threshold: float) -> DataFrame:
-    """make() gives a worker its function from texts to scores."""
-    kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    rows = docs.select(*kept)
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    at = kept.index("text")
+def with_scores(docs: DataFrame, make, text_col: str = "text") -> DataFrame:
+    """The columns of docs as _0, _1, ..., and _score; make() gives a worker its function from texts to scores."""
+    rows, at = numbered(docs), docs.columns.index(text_col)
+    schema = T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())])
 
     def run(batches):
         scorer = make()
         for batch in batches:
             scores = pa.array(scorer(batch.column(at).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "_score"])
 
-    scored = rows.mapInArrow(run, schema)
-    return scored.select(*kept, F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rows.mapInArrow(run, schema)
+
+
+def apply_scores(docs: DataFrame, make, folds: int, held_out: int, threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of docs, but for those that are named like one of held_out, score and predicted in any case, and these three."""
+    kept = [F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in ("held_out", "score", "predicted")]
+    key = F.col(f"_{docs.columns.index(id_col)}")
+    new = [F.coalesce(remainder(key, folds) == held_out, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted")]
+    return with_scores(docs, make, text_col).select(*kept, *new)
