@@ -2,6 +2,7 @@ import base64
 import hashlib
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -381,3 +382,132 @@ def test_a_taken_version_is_refused(spark, tmp_path):
 
 def test_sharding_an_empty_table(spark, tmp_path):
     assert sharding.shard_documents(spark.createDataFrame([], DOCS), str(tmp_path / "s")).count() == 0
+
+
+def test_old_versions_stay_readable_until_they_are_vacuumed(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), 60_000)
+    rows = [(i, f"text {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS).repartition(2)
+    store.append(df.filter("doc_id < 200"), 20)
+    first = store.read(1)
+    store.append(df.filter("doc_id >= 200"), 20)
+    assert store.compact() == 3 and len(store.manifest()) < len(store.manifest(2))
+    assert first.count() == 200 and store.read(1).count() == 200 and store.read(2).count() == store.read().count() == 400
+    orphan = tmp_path / "s" / "data" / "lost" / "part-0.parquet"
+    orphan.parent.mkdir()
+    orphan.write_bytes(b"x")
+    gone = store.vacuum(keep=2)
+    assert store.versions() == [2, 3] and orphan.exists() and gone == []  # version 2 has the files of version 1
+    assert store.read(2).count() == 400
+    with pytest.raises(ValueError, match="not kept"):
+        store.read(1)
+    gone = store.vacuum(keep=1, grace=0)
+    assert "data/lost/part-0.parquet" in gone and not orphan.exists() and store.read().count() == 400 and store.versions() == [3]
+    assert len(gone) > 20 and store.vacuum(keep=1, grace=0) == []
+
+
+def test_a_compaction_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path / "s"), 60_000)
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(100)], DOCS)
+    store.append(df, 10)
+    before = store.manifest()
+    with monkeypatch.context() as m:
+        m.setattr(sharding.ShardStore, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            store.compact()
+    assert store.version() == 1 and store.manifest() == before and store.read().count() == 100
+    assert store.compact() == 2 and store.read().count() == 100
+
+
+def test_writers_that_come_second_start_again(spark, tmp_path, monkeypatch):
+    store, other = (sharding.ShardStore(spark, str(tmp_path / "s"), 60_000) for _ in range(2))
+    one = lambda i: spark.createDataFrame([(i, "x")], DOCS)
+    for i in range(3):
+        store.append(one(i), 10)
+    merge = sharding.ShardStore._merge
+
+    def late(self, run):
+        other.append(one(9), 10)
+        return merge(self, run)
+
+    monkeypatch.setattr(sharding.ShardStore, "_merge", late)
+    assert store.compact() == 5 and sorted(r["doc_id"] for r in store.read().collect()) == [0, 1, 2, 9]
+
+    def taken(self, run):
+        monkeypatch.setattr(sharding.ShardStore, "_merge", merge)
+        other.compact()
+        return merge(self, run)
+
+    other.append(one(10), 10)
+    monkeypatch.setattr(sharding.ShardStore, "_merge", taken)
+    assert store.compact() == other.version() and sorted(r["doc_id"] for r in store.read().collect()) == [0, 1, 2, 9, 10]
+
+
+def test_tiers():
+    store = sharding.ShardStore.__new__(sharding.ShardStore)
+    store.target, store.fanout = 64_000, 4
+    assert [store.tier(n) for n in (70_000, 32_001, 32_000, 16_000, 15_000, 1_000, 0)] == [0, 0, 1, 1, 2, 3, 8]
+
+
+# -- very long words
+
+
+@pytest.mark.parametrize("word", ["and", "nd", "a", "ab", "the", "é", "=", "aB3"])
+def test_very_long_words(reference, word):
+    replay = bpe.load(PATH)
+    for n in (400, 3_000):
+        text = word * n
+        encoder = bpe.Encoder(replay, public_tokenizers.PATTERN)
+        assert encoder.tokens(encoder.encode_block([text])[0].tolist()) == reference.encode_ordinary(text)
+
+
+def test_a_word_of_a_megabyte_takes_seconds():
+    begun = time.time()
+    replay = bpe.load(PATH)
+    ids = replay.encode([b"and" * 300_000])[0]
+    assert b"".join(replay.bytes_of[i] for i in ids.tolist()) == b"and" * 300_000 and time.time() - begun < 10
+
+
+# -- classifiers against plain versions
+
+
+def test_ftrl_against_a_plain_version():
+    rng = np.random.default_rng(4)
+    rows = [(np.sort(rng.choice(64, 6, replace=False)), rng.normal(size=6)) for _ in range(60)]
+    y = np.array([int(v.sum() > 0) for _, v in rows])
+    model = quality.Ftrl(bits=6, epochs=2)
+    weights, bias = model.fit(rows, y, seed=5)
+    z, n, order = {}, {}, np.random.default_rng(5)
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= model.l1 else -(z[k] - np.sign(z[k]) * model.l1) / ((model.beta + n[k] ** 0.5) / model.alpha + model.l2)
+    for _ in range(2):
+        for r in order.permutation(len(rows)):
+            x = dict(zip(rows[r][0].tolist(), rows[r][1].tolist(), strict=True))
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-(bias + sum(w[k] * x[k] for k in x))))
+            for k, v in x.items():
+                g = (p - y[r]) * v
+                sigma = ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / model.alpha
+                z[k], n[k] = z.get(k, 0.0) + g - sigma * w[k], n.get(k, 0.0) + g * g
+    assert np.allclose(weights, [weight(k) if k in z else 0.0 for k in range(64)], atol=1e-6)
+
+
+def test_the_quality_stage_keeps_columns_whatever_their_names(spark):
+    rows = [(i, "a fine text about rivers and hills" if i % 2 else "buy now!!! $$$ 0000", f"own {i}", i, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string, `Held_Out` long, predicted string").withColumn("Score2", F.lit(1))
+    df = df.withColumnRenamed("Score2", "_score")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    out = quality.drop_low_quality(df, labels)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in df.collect()}
+    scored = quality.quality_scores(df.withColumnRenamed("score", "Score"), labels)
+    assert scored.columns == ["doc_id", "text", "_score", "held_out", "score", "predicted"] and scored.count() == 60
+
+
+def test_the_training_sample_is_bounded(spark):
+    from thalweg.llm.labelled import labelled_sample
+
+    df = spark.createDataFrame([(i % 50, f"{i:03d} " + "word " * (5_000 if i == 7 else 10)) for i in range(500)], DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    texts, y = labelled_sample(df, labels, "quality", 4, 2, 1_000)
+    assert 30 < len(texts) <= 50 and len(y) == len(texts)  # one text for each id, the smallest
+    few, _ = labelled_sample(df, labels, "quality", 4, 2, 1_000, train_bytes=600)
+    assert 0 < len(few) and sum(map(len, few)) <= 600 and set(few) <= set(texts)
