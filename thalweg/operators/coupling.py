@@ -50,13 +50,16 @@ def crossing_pairs(placed: DataFrame, net: Network) -> DataFrame:
 def contacts(areas: DataFrame, ncols: int, connectivity: int, pairs: DataFrame) -> DataFrame:
     """(basin, head_1, head_2, n): neighbouring cell pairs, one cell in each head's area; a shared cell is no contact.
 
-    Both joins are on cell ids, so the work follows the areas' borders, not the grid's size.
+    Areas of heads in no pair are left out first. Both joins are on cell ids, so the work follows the areas' borders, not
+    the grid's size.
     """
+    pairs = pairs.select("basin", "head_1", "head_2").distinct()
+    areas = areas.join(pairs.select("basin", F.explode(F.array("head_1", "head_2")).alias("head")).distinct(), ["basin", "head"], "left_semi")
     steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in offsets(connectivity)])
     around = areas.select("basin", F.col("head").alias("head_1"), "cell_id", F.inline(steps)).filter((F.pmod(F.col("cell_id"), F.lit(ncols)) + F.col("dc")).between(0, ncols - 1))
     around = around.select("basin", "head_1", (F.col("cell_id") + F.col("dr") * ncols + F.col("dc")).alias("cell_id"))
     met = around.join(areas.select("basin", "cell_id", F.col("head").alias("head_2")), ["basin", "cell_id"]).filter("head_1 < head_2")
-    return met.join(pairs.select("basin", "head_1", "head_2").distinct(), ["basin", "head_1", "head_2"], "left_semi").groupBy("basin", "head_1", "head_2").agg(F.count(F.lit(1)).alias("n"))
+    return met.join(pairs, ["basin", "head_1", "head_2"], "left_semi").groupBy("basin", "head_1", "head_2").agg(F.count(F.lit(1)).alias("n"))
 
 
 def evaluate_coupling(pairs: DataFrame, net: Network, flow: DataFrame, ncols: int, options: CouplingOptions | None = None, prefilter: bool = True, stream_filter: bool = True, areas: DataFrame | None = None) -> DataFrame:

@@ -72,10 +72,15 @@ def padded_box(points: DataFrame, keys: list[str], pad_frac: float = 0.1) -> Dat
 
 
 def crop(cells: DataFrame, boxes: DataFrame, keys: list[str], nrows: int | None = None, ncols: int | None = None) -> DataFrame:
-    """Cells inside the boxes of their basin, which are clamped to the extent where it is given."""
-    low = {x: F.greatest(F.col(f"{x}0"), F.lit(0.0)) for x in "rc"}
-    high = {x: F.least(F.col(f"{x}1"), F.lit(float(n - 1))) if n else F.col(f"{x}1") for x, n in (("r", nrows), ("c", ncols))}
-    return cells.join(boxes, "basin").filter(F.col("r").between(low["r"], high["r"]) & F.col("c").between(low["c"], high["c"])).select(*keys, *[c for c in cells.columns if c not in keys])
+    """Cells inside the boxes of their basin, which are clamped to the extent where it is given.
+
+    The places inside each box are joined with the cells on (basin, r, c): no cell is compared with a box that it is not in.
+    """
+    low = {x: F.ceil(F.greatest(F.col(f"{x}0"), F.lit(0.0))) for x in "rc"}
+    high = {x: F.floor(F.least(F.col(f"{x}1"), F.lit(float(n - 1))) if n else F.col(f"{x}1")) for x, n in (("r", nrows), ("c", ncols))}
+    inside = boxes.select(*keys, *[low[x].alias(f"_{x}0") for x in "rc"], *[high[x].alias(f"_{x}1") for x in "rc"]).filter("_r0 <= _r1 and _c0 <= _c1")
+    places = inside.withColumn("r", F.explode(F.sequence("_r0", "_r1"))).withColumn("c", F.explode(F.sequence("_c0", "_c1"))).drop("_r0", "_r1", "_c0", "_c1")
+    return places.join(cells, ["basin", "r", "c"]).select(*keys, *[c for c in cells.columns if c not in keys])
 
 
 def subsample(cells: DataFrame, stride: int) -> DataFrame:

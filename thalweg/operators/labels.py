@@ -91,7 +91,7 @@ class HardNegatives:
     group: str | None
 
     @staticmethod
-    def fit(df: DataFrame, length_ratio: float = 3.0, distance_ratio: float = 10.0, group: str | None = None) -> HardNegatives:
+    def fit(df: DataFrame, length_ratio: float = 3.0, distance_ratio: float = 5.0, group: str | None = None) -> HardNegatives:
         group = group if group in df.columns else None
         positive = F.col("y") == 1
 
@@ -123,7 +123,7 @@ class HardNegatives:
         return kept.select(*df.columns)
 
 
-def filter_hard_negatives(df: DataFrame, length_ratio: float = 3.0, distance_ratio: float = 10.0, group: str | None = None, crossing: DataFrame | None = None) -> DataFrame:
+def filter_hard_negatives(df: DataFrame, length_ratio: float = 3.0, distance_ratio: float = 5.0, group: str | None = None, crossing: DataFrame | None = None) -> DataFrame:
     """Fit and filter on the same table."""
     return HardNegatives.fit(df, length_ratio, distance_ratio, group).filter(df, crossing)
 

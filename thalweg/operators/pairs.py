@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .network import Network, outlet_of, paths
+from .network import Network, paths
 
 KEYS = ["outlet", "confluence", "head_1", "head_2"]
 
@@ -35,8 +35,8 @@ def first_meet_pairs(net: Network, ways: DataFrame | None = None) -> DataFrame:
     arriving = ways.filter(F.col("via").isNotNull()).join(at, ["basin", "node"], "left_semi").select("basin", "node", "head", "via")
     other = arriving.toDF("basin", "node", "head_2", "via_2")
     pairs = arriving.join(other, ["basin", "node"]).filter("head < head_2 and via <> via_2")
-    roots = outlet_of(net).select("basin", F.col("node_id").alias("node"), "outlet")
-    return pairs.join(roots, ["basin", "node"]).select("basin", "outlet", F.col("node").alias("confluence"), F.col("head").alias("head_1"), "head_2").distinct()
+    ends = ways.groupBy("basin", "head").agg(F.max_by("node", "pos").alias("outlet"))
+    return pairs.join(ends, ["basin", "head"]).select("basin", "outlet", F.col("node").alias("confluence"), F.col("head").alias("head_1"), "head_2").distinct()
 
 
 def pairs_by_confluence(pairs: DataFrame) -> DataFrame:

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read from there; to a temporary one only where none is set."""
+    """df written to the folder in spark.checkpoint.dir and read from there.
+
+    A temporary folder of our own serves only where one process runs all, as in tests; a cluster that names none is a ValueError.
+    """
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)

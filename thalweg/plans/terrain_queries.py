@@ -61,14 +61,19 @@ def contributing_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.contributing_area(cells, materialize(grid.flow_directions(cells, NCOLS)))
 
 
-@query([S.CELLS], "SELECT basin, cell_id, cell_id // 64 AS r, cell_id % 64 AS c, CAST(10.0 + 30.0 * (cell_id % 64) AS DOUBLE) AS x, CAST(5000.0 - 30.0 * (cell_id // 64) AS DOUBLE) AS y FROM cells WHERE r % 5 = 0 AND c % 5 = 0")
+@query([S.CELLS], "SELECT basin, cell_id, cell_id // 64 AS r, cell_id % 64 AS c, CAST(10.0 + 30.0 * (cell_id % 64) AS DOUBLE) AS x, CAST(5000.0 - 30.0 * (cell_id // 64) AS DOUBLE) AS y FROM cells")
 def grid_world_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = grid.subsample(terrain_cells(spark, sf_dir), 5)
+    cells = terrain_cells(spark, sf_dir)
     r, c = grid.unravel(F.col("cell_id"), NCOLS)
     x, y = grid.Affine(30.0, 0.0, 10.0, 0.0, -30.0, 5000.0).world(F.col("r"), F.col("c"))
     return cells.select("basin", "cell_id", r.alias("r"), c.alias("c")).select("*", x.alias("x"), y.alias("y"))
 
 
+@query([S.CELLS], "SELECT basin, cell_id, z FROM cells WHERE r % 5 = 0 AND c % 5 = 0")
+def grid_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.subsample(terrain_cells(spark, sf_dir), 5).select("basin", "cell_id", "z")
+
+
 # -- networks
 
 
@@ -191,15 +196,18 @@ class Pairs:
         self.t: Terrain = terrain(spark, sf_dir)
         self.ways = materialize(pairs.head_paths(self.t.net))
         self.pairs = materialize(pairs.first_meet_pairs(self.t.net, self.ways))
+        self._asymmetry: DataFrame | None = None
 
     def coupling(self) -> DataFrame:
         return coupling.evaluate_coupling(self.pairs, self.t.net, self.t.flow, NCOLS, OPTIONS)
 
     def asymmetry(self) -> DataFrame:
-        return asymmetry.evaluate_asymmetry(self.pairs, self.t.net)
+        if self._asymmetry is None:
+            self._asymmetry = materialize(asymmetry.evaluate_asymmetry(self.pairs, self.t.net))
+        return self._asymmetry
 
     def geometry(self) -> DataFrame:
-        return geometry.evaluate_geometry(self.pairs, self.t.net, network.strahler_orders(self.t.net), materialize(self.asymmetry()), direction_m=ORIENTATION_M, ways=self.ways)
+        return geometry.evaluate_geometry(self.pairs, self.t.net, network.strahler_orders(self.t.net), self.asymmetry(), direction_m=ORIENTATION_M, ways=self.ways)
 
     def labelled(self) -> DataFrame:
         return labels.labelled_dataset(self.coupling(), self.asymmetry(), self.geometry())
@@ -366,10 +374,10 @@ def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return network.reachable(p.t.net, asked.union(back))
 
 
-@query(S.LAYERS, "SELECT e.basin, t.outlet, e.u, e.v FROM edges e JOIN roots t ON t.basin = e.basin AND t.node_id = e.u WHERE t.outlet % 10 = 3")
+@query(S.LAYERS, "SELECT e.basin, t.outlet, e.u, e.v FROM edges e JOIN roots t ON t.basin = e.basin AND t.node_id = e.u")
 def outlet_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = terrain(spark, sf_dir).net
-    chosen = net.nodes.filter("is_outlet").select("basin", F.col("node_id").alias("outlet")).filter("outlet % 10 = 3")
+    chosen = net.nodes.filter("is_outlet").select("basin", F.col("node_id").alias("outlet"))
     return network.outlet_view(net, chosen)
 
 
@@ -408,11 +416,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Terrain]:
 def cropped_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes, t = _boxes(spark, sf_dir)
     keys = ["basin", "head_1", "head_2"]
-    # The cells inside each box by id: an equi-join, not a comparison of every cell with every box.
-    r0, r1 = F.ceil(F.greatest("r0", F.lit(0.0))), F.floor("r1")
-    c0, c1 = F.ceil(F.greatest("c0", F.lit(0.0))), F.floor(F.least("c1", F.lit(NCOLS - 1.0)))
-    ids = boxes.select(*keys, F.explode(F.sequence(r0, r1)).alias("r"), c0.alias("c0"), c1.alias("c1")).select(*keys, "r", F.explode(F.sequence("c0", "c1")).alias("c"))
-    inside = ids.join(t.cells, ["basin", "r", "c"])
+    inside = grid.crop(t.cells, boxes, keys, ncols=NCOLS)
     return _rounded(inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"), F.min("z").alias("z_min")))
 
 
