@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from thalweg.llm import exact_dedup, simhash, substring
 from thalweg.llm.components import connected_components
@@ -163,6 +164,32 @@ def test_edited_copies_are_found_and_others_kept(spark):
     assert len(kept & set(source)) <= 0.03 * len(source)
 
 
+def test_copies_at_the_threshold_are_found_at_any_width(spark, monkeypatch):
+    """Pairs of a similarity from 0.80 to 0.85; segments as narrow as in a small table and as wide as in the largest."""
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for g in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        copy = list(base)
+        while jaccard(" ".join(base), " ".join(copy)) > 0.85:
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+        if jaccard(" ".join(base), " ".join(copy)) >= 0.8:
+            pairs.append((2 * g, 2 * g + 1))
+            rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    assert len(pairs) > 100
+    for width in (16, 32):
+        monkeypatch.setattr(simhash, "segment_width", lambda n, width=width: width)
+        kept = {r["doc_id"] for r in simhash.drop_near_copies(docs(spark, rows)).collect()}
+        assert kept >= {a for a, _ in pairs} and len(kept & {b for _, b in pairs}) <= 0.1 * len(pairs)
+
+
+def test_segments_grow_with_their_width():
+    for width in range(16, 33):
+        within = (1 - simhash.DIFFERING) ** width + width * simhash.DIFFERING * (1 - simhash.DIFFERING) ** (width - 1)
+        assert 1 - (1 - within) ** simhash.segments(width) >= simhash.MEETING
+    assert simhash.segment_width(2) == 16 and simhash.segment_width(10**6) == 24 and simhash.segment_width(10**12) == 32
+
+
 def test_a_large_group_of_edited_copies(spark):
     rng = random.Random(9)
     base = [f"w{i}" for i in range(400)]
@@ -247,5 +274,28 @@ def test_near_copies_that_share_a_large_bucket_with_others(spark, monkeypatch, b
     names = [f"f{k}" for k in range(simhash.LONGS)]
     rows = [(u, *[x - (1 << 64) if x >> 63 else x for x in longs]) for u, longs in units]
     df = spark.createDataFrame(rows, "u long, " + ", ".join(f"{n} long" for n in names))
-    got = {tuple(r) for r in simhash._wide_components(df, names, 16).collect()}
-    assert {n: r for n, r in got if n != r} == {100 + k: k for k in range(1, 41)}
+    df = df.withColumn("c", F.lit(None).cast("long"))
+    met = simhash._meetings(df, simhash._segments(names, 16, 2 * simhash.LONGS), 16).cache()
+    none = connected_components(df.select(F.col("u").alias("a"), F.col("u").alias("b")))
+    got = {tuple(r) for r in simhash._unlinked(met, df, names, none).collect()}
+    assert {tuple(sorted(r)) for r in got} == {(k, 100 + k) for k in range(1, 41)}
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_repeats_do_not_depend_on_the_parts(spark, monkeypatch, fan):
+    """Parts dealt in several rounds, which take the same rows as one."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(40)))) for i in range(80)]
+    expected = {tuple(r) for r in substring.remove_repeats(docs(spark, rows), window=4).collect()}
+    monkeypatch.setattr(substring, "FAN", fan)
+    monkeypatch.setattr(substring, "PART_WORDS", 60)
+    levels = substring._levels(27)
+    assert levels[0] <= fan and levels[-1] >= 27 and all(b % a == 0 and b // a <= fan for a, b in zip(levels, levels[1:]))
+    assert {tuple(r) for r in substring.remove_repeats(docs(spark, rows), window=4).collect()} == expected
+
+
+def test_dealing_takes_no_longer_with_more_parts():
+    hashes = np.sort(np.random.default_rng(1).integers(0, 2**substring.HASH_BITS, 300_000).astype(np.uint64))
+    assert substring._levels(100_000)[0] == substring.FAN == 512
+    cuts = substring._cuts(substring._part(hashes, substring.HASH_BITS, substring._levels(100_000)[0]))
+    assert len(cuts) <= 512 and cuts[0][1] == 0 and cuts[-1][2] == len(hashes)

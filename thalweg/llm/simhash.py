@@ -27,37 +27,30 @@ LARGE_BUCKET = 64
 
 def fingerprint(text: str | None, ngram: int = 3) -> int:
     """The signed 64-bit SimHash of a text's word n-grams; see fingerprints()."""
-    return wide_fingerprint(text, ngram, 1)[0]
-
-
-def wide_fingerprint(text: str | None, ngram: int, longs: int) -> list[int]:
-    """So many signed 64-bit SimHashes, the first of XXH64 itself, each other one of the hashes mixed anew."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only 0x20 and 0x09-0x0D separate
+    words = _words(text)
     if not words:
-        return [0] * longs
+        return 0
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
     k = min(ngram, len(words))
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)], dtype=np.uint64)
-    return [_majority(hashes if k == 0 else _remixed(hashes, k)) for k in range(longs)]
+    return _majority(hashes.reshape(-1, 1))[0]
 
 
-def _remixed(hashes: np.ndarray, k: int) -> np.ndarray:
-    x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) & ((1 << 64) - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only 0x20 and 0x09-0x0D separate
 
 
-def _majority(hashes: np.ndarray) -> int:
-    """Bits that are set in over half of the hashes, as a signed long."""
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, BITS)
+def _majority(hashes: np.ndarray) -> list[int]:
+    """For each column the bits that are set in over half of the rows, as a signed long."""
+    ones = np.zeros(hashes.shape[1] * BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 255 * 16):
+        rows = np.ascontiguousarray(hashes[at : at + 255 * 16]).view(np.uint8)
+        bits = np.unpackbits(rows.reshape(-1, hashes.shape[1] * 8), axis=1, bitorder="little")
         for low in range(0, len(bits), 255):  # sums of 255 bits fit a byte
             ones += bits[low : low + 255].sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 3) -> DataFrame:
@@ -186,114 +179,176 @@ def hex_digits(fp: Column) -> Column:
 
 # -- similarity of 0.8: wide fingerprints
 
-#: Longs of a wide fingerprint; each is two segments.
-LONGS = 5
-#: Differing bits of a wide fingerprint that count as a similarity of 0.8 of the sets of five-word shingles.
-#: Measured on edited copies: three-word fingerprints of pairs between 0.80 and 0.85 differ in 9.8 % of their bits.
-WIDE_DISTANCE = 38
+#: Longs of a wide fingerprint; each holds two segments.
+LONGS = 12
+#: Differing bits of a wide fingerprint that count as a similarity of 0.8 of the sets of five-word shingles; see README.
+WIDE_DISTANCE = 86
+#: The share of bits in which pairs of a similarity from 0.80 to 0.85 differ, as measured, and the least probability that such a pair meets in a segment.
+DIFFERING, MEETING = 0.094, 0.99
 #: Segments are so many bits longer than the logarithm of the number of fingerprints: chance meetings stay few at any size.
-SPARE_BITS = 5
-#: In buckets of up to NEIGHBOURS + 2 members all pairs are compared by a window; of larger ones see _wide_components.
-NEIGHBOURS = 3
+SPARE_BITS = 4
+#: In buckets of up to NEIGHBOURS + 1 members all pairs are compared by a window; of larger ones see near_copies.
+NEIGHBOURS = 4
 #: Larger buckets are compared in blocks of about so many members, each two blocks in one go.
 BLOCK = 2048
+#: Distinct words that a worker keeps hashes of.
+CACHE = 200_000
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: What sets the columns of a fingerprint apart.
+_OFFSETS = np.arange(LONGS, dtype=np.uint64) * _FACTOR
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+def wide_fingerprint(text: str | None, cache: _Hashes) -> list[int]:
+    """LONGS signed 64-bit SimHashes of a text's two-word shingles, each of the shingles' hashes mixed anew."""
+    words = _words(text)
+    if not words:
+        return [0] * LONGS
+    hashes = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+    if len(words) > 1:
+        hashes = (hashes[:-1] ^ (hashes[:-1] >> np.uint64(29))) * _FACTOR + hashes[1:]
+    x = hashes[:, None] + _OFFSETS
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return _majority(x ^ (x >> np.uint64(31)))
+
+
+def segment_width(fingerprints: int) -> int:
+    """Bits of a segment for so many fingerprints."""
+    return min(32, max(16, math.ceil(math.log2(max(fingerprints, 2))) + SPARE_BITS))
+
+
+def segments(width: int) -> int:
+    """How many segments of this width a pair that differs in a share of DIFFERING of its bits needs, to meet in one with a probability of MEETING."""
+    within = (1 - DIFFERING) ** width + width * DIFFERING * (1 - DIFFERING) ** (width - 1)
+    return min(2 * LONGS, math.ceil(math.log(1 - MEETING) / math.log(1 - within)))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of documents with a near copy: a similarity of about 0.8 or more, taken from fingerprints.
+    """(doc_id, component_id) of all documents, linked at a similarity of about 0.8 or more, taken from fingerprints.
 
-    The ten segments of a fingerprint are indexed as they are and with each bit deleted.  All documents that share a
-    bucket are compared, unless they are linked already; see _wide_components.  Documents with equal fingerprints count
-    as one.  A pair at 0.8 meets in one of the segments with a probability of about 0.9, one at 0.9 with over 0.99; see
-    README.
+    Segments of the fingerprints are indexed as they are and with each bit deleted; the longer they are, in a larger
+    table, the more of them there are, so a pair meets with the same probability at any size; see README for what is
+    found.  All documents that share a bucket are compared, unless they are linked already:
 
-    Texts without words are equal.  Rows without an id are left out.  Rows that share an id count as one document.
+    (1) Each fingerprint is compared with the smallest one of the buckets of plain segments, the one that it meets most
+    often.  That joins most of a large group of near copies.
+    (2) In all buckets, those of different components so far are compared: each two in small buckets, in larger ones
+    each with two of other components.
+    (3) In larger buckets that still hold several components, each two of different ones, in blocks, without a row for
+    each pair.
+
+    Documents with equal fingerprints count as one.  Texts without words are equal.  Rows without an id are left out.
+    Rows that share an id count as one document.
     """
     names = [f"f{k}" for k in range(LONGS)]
 
     def run(batches):
+        cache = _Hashes()
         for batch in batches:
-            fps = [wide_fingerprint(x.as_py(), 3, LONGS) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in fps], pa.int64()) for k in range(LONGS)]], names=["doc_id", *names])
+            fps = np.array([wide_fingerprint(x.as_py(), cache) for x in batch.column(1)], dtype=np.int64).reshape(-1, LONGS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(LONGS)]], names=["doc_id", *names])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
     rows = checkpoint(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
     units = checkpoint(_spread(rows.groupBy(*names).agg(F.min("doc_id").alias("u")), "u"))
-    width = min(32, max(16, math.ceil(math.log2(max(units.count(), 2))) + SPARE_BITS))
-    roots = _wide_components(units, names, width)
+    width = segment_width(units.count())
+    slots = _segments(names, width, segments(width))
+
+    first = connected_components(_verified(_leaders(units, slots), units, names))
+    # c: the component so far, null where it is the document alone.
+    units = checkpoint(units.join(first, units["u"] == first["node"], "left").select("u", *names, F.col("root").alias("c")))
+    met = checkpoint(_meetings(units, slots, width))
+    pairs = met.select(F.col("u").alias("a"), "c", F.explode("others").alias("o")).select("a", F.col("o.u").alias("b"), F.col("c").alias("ca"), F.col("o.c").alias("cb"))
+    links = checkpoint(_verified(pairs.distinct(), units, names).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    roots = connected_components(links)
+    more = checkpoint(_unlinked(met, units, names, roots))
+    if not more.isEmpty():
+        roots = connected_components(links.union(more))
     # Documents of equal fingerprints hang on the smallest of them; its component's smallest one is the root.
-    linked = units.join(roots, units["u"] == roots["node"], "left").select(*names, "u", F.coalesce("root", "u").alias("component_id"))
+    own = units.select(*names, F.coalesce("c", "u").alias("c"))
+    linked = own.join(roots, own["c"] == roots["node"], "left").select(*names, F.coalesce("root", "c").alias("component_id"))
     return rows.join(linked, names).select("doc_id", "component_id")
 
 
-def _wide_components(units: DataFrame, names: list[str], width: int) -> DataFrame:
-    """(node, root) of the links between all fingerprints within WIDE_DISTANCE that share a bucket.
+def _segments(names: list[str], width: int, n: int) -> Column:
+    """(slot, v): the first n segments, the low bits of half-longs."""
+    halves = [(2 * k + h, F.shiftrightunsigned(name, 32 * h)) for k, name in enumerate(names) for h in (0, 1)]
+    return F.array(*[F.struct(F.lit(s).alias("slot"), v.bitwiseAND(F.lit((1 << width) - 1)).alias("v")) for s, v in halves[:n]])
 
-    In a large bucket each member is compared with the first one, which links most of a group of near copies.  Members
-    that are in different components after that are compared with each other, all pairs, without a row for each pair.
-    """
-    met = checkpoint(_meetings(units, names, width))
-    roots = connected_components(_near(met, units, names))
-    more = checkpoint(_unlinked(met, units, names, roots))
-    if more.isEmpty():
-        return roots
-    return connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+
+def _leaders(units: DataFrame, slots: Column) -> DataFrame:
+    """(a, b): each fingerprint and the smallest one of its plain buckets, the one that leads most of them."""
+    each = units.select("u", F.inline(slots))
+    led = each.select("u", F.min("u").over(Window.partitionBy("slot", "v")).alias("b")).filter("b < u")
+    often = led.groupBy("u", "b").agg(F.count(F.lit(1)).alias("n"))
+    return often.groupBy(F.col("u").alias("a")).agg(F.min(F.struct(-F.col("n"), "b"))["b"].alias("b"))
 
 
-def _meetings(units: DataFrame, names: list[str], width: int) -> DataFrame:
-    """(u, others, key, bit): whom u is compared with in a bucket; key is null in small buckets, where these are all."""
-    mask = F.lit((1 << width) - 1)
-    segments = F.array(*[F.struct(F.lit(2 * k + h).alias("slot"), F.shiftrightunsigned(n, 32 * h).bitwiseAND(mask).alias("v")) for k, n in enumerate(names) for h in (0, 1)])
-    each = units.select("u", F.inline(segments)).select("u", "slot", "v", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("i"))
+def _verified(pairs: DataFrame, units: DataFrame, names: list[str]) -> DataFrame:
+    """The pairs (a, b, ...) whose fingerprints are within WIDE_DISTANCE."""
+    sides = [units.select(F.col("u").alias(x), *[F.col(n).alias(f"{x}_{n}") for n in names]) for x in "ab"]
+    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(apart <= WIDE_DISTANCE).select(*pairs.columns)
+
+
+def _meetings(units: DataFrame, slots: Column, width: int) -> DataFrame:
+    """(u, c, others, key, bit): whom u, of component c, is compared with in a bucket, as (c, u); key is null in small buckets, where these are all."""
+    each = units.select("u", "c", F.inline(slots)).select("u", "c", "slot", "v", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))).alias("i"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest("i", F.lit(0)))
     wild = F.col("i") >= 0
     value = F.when(wild, F.col("v").bitwiseAND(F.bitwise_not(one))).otherwise(F.col("v"))
     key = F.call_function("shiftleft", (F.col("slot") * 64 + F.col("i") + 1).cast("long"), F.lit(32)).bitwiseOR(value)
-    index = each.select(key.alias("key"), "u", (wild & (F.col("v").bitwiseAND(one) != 0)).alias("bit"))
+    index = each.select(key.alias("key"), "u", "c", (wild & (F.col("v").bitwiseAND(one) != 0)).alias("bit"))
+    index = index.repartition("key")  # before the window's own columns are added
     # With a deleted bit, only fingerprints that differ in it are new; in plain segments all that meet.
-    bucket, order = Window.partitionBy("key"), Window.partitionBy("key").orderBy("u")
-    first = [F.min(F.when(F.col("bit") == b, F.col("u"))).over(bucket) for b in (False, True)]
-    before = [F.lag(F.struct("u", "bit"), k).over(order) for k in range(1, NEIGHBOURS + 1)]
-    met = index.select("key", "u", "bit", (F.count(F.lit(1)).over(bucket) <= NEIGHBOURS + 2).alias("few"), first[0].alias("first0"), first[1].alias("first1"), *[b.alias(f"b{k}") for k, b in enumerate(before)])
+    order = Window.partitionBy("key").orderBy("u")
+    bucket = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    me = F.struct(F.coalesce("c", "u").alias("c"), "u")
+    ends = {f"{n}{b}": f(F.when(F.col("bit") == F.lit(b == 1), me)).over(bucket) for b in (0, 1) for n, f in (("low", F.min), ("high", F.max))}
+    before = {f"before{k}": F.lag(F.struct(me.alias("it"), "bit"), k).over(order) for k in range(1, NEIGHBOURS + 1)}
+    met = index.select("key", "bit", me.alias("me"), (F.count(F.lit(1)).over(bucket) <= NEIGHBOURS + 1).alias("few"), *[v.alias(k) for k, v in (ends | before).items()])
     plain = F.call_function("shiftright", F.col("key"), F.lit(32)) % 64 == 0
-    others = F.array(
-        F.when(plain, F.col("first0")).when(F.col("bit"), F.col("first0")).otherwise(F.col("first1")),
-        *[F.when(F.col("few") & (plain | (F.col(f"b{k}.bit") != F.col("bit"))), F.col(f"b{k}.u")) for k in range(NEIGHBOURS)],
-    )
-    # A large bucket of a deleted bit gives pairs only where the bit differs.
-    large = ~F.col("few") & (plain | (F.col("first0").isNotNull() & F.col("first1").isNotNull()))
-    met = met.select("u", F.filter(F.array_compact(others), lambda o: o != F.col("u")).alias("others"), F.when(large, F.col("key")).alias("key"), F.col("bit").cast("long").alias("bit"))
-    return met.filter((F.size("others") > 0) | F.col("key").isNotNull())
-
-
-def _near(met: DataFrame, units: DataFrame, names: list[str]) -> DataFrame:
-    pairs = met.select("u", F.explode("others").alias("o")).select(F.least("u", "o").alias("a"), F.greatest("u", "o").alias("b")).distinct()
-    sides = [units.select(F.col("u").alias(x), *[F.col(n).alias(f"{x}_{n}") for n in names]) for x in "ab"]
-    both = pairs.join(sides[0], "a").join(sides[1], "b")
-    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    return both.filter(apart <= WIDE_DISTANCE).select("a", "b")
+    near = [F.when(plain | (F.col(f"{b}.bit") != F.col("bit")), F.col(f"{b}.it")) for b in before]
+    far = [F.when(plain | F.col("bit"), F.col(f"{n}0")).otherwise(F.col(f"{n}1")) for n in ("low", "high")]
+    others = F.when(F.col("few"), F.array(*near)).otherwise(F.array(*far))
+    others = F.array_distinct(F.filter(F.array_compact(others), lambda o: o["c"] != F.col("me.c")))
+    met = met.select("me.u", "me.c", others.alias("others"), F.when(~F.col("few"), F.col("key")).alias("key"), F.col("bit").cast("long").alias("bit"))
+    return met.filter(F.size("others") > 0)
 
 
 def _unlinked(met: DataFrame, units: DataFrame, names: list[str], roots: DataFrame) -> DataFrame:
-    """Links (a, b) in large buckets between different components; at most one less than a bucket's components from each two blocks."""
-    large = met.filter(F.col("key").isNotNull()).select("key", "u", "bit")
-    rows = large.join(roots, large["u"] == roots["node"], "left").select("key", "u", "bit", F.coalesce("root", "u").alias("c"))
+    """Links (a, b) of components in large buckets that are different ones; at most one less than a bucket's components from each two blocks."""
+    # Joins take a row for each document, not for each of its buckets, of which it has a bounded number.
+    large = met.filter(F.col("key").isNotNull()).groupBy("u", F.col("c").alias("was")).agg(F.collect_list(F.struct("key", "bit")).alias("at"))
+    rows = large.join(roots, large["was"] == roots["node"], "left").select("u", F.coalesce("root", "was").alias("c"), F.inline("at")).repartition("key")
     # A row is needed if its bucket has a member that it may link to in another component; with a deleted bit, one that differs in the bit.
+    bucket = Window.partitionBy("key")
     sides = {"": F.lit(True), "0": F.col("bit") == 0, "1": F.col("bit") == 1}
-    ends = [f(F.when(on, F.col("c"))).alias(f"{n}{x}") for x, on in sides.items() for n, f in (("low", F.min), ("high", F.max))]
-    mixed = rows.groupBy("key").agg(*ends, F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")).filter("low < high")
+    ends = {f"{n}{x}": f(F.when(on, F.col("c"))).over(bucket) for x, on in sides.items() for n, f in (("low", F.min), ("high", F.max))}
+    rows = rows.withColumns(ends | {"n": F.ceil(F.count(F.lit(1)).over(bucket) / BLOCK)})
     other = {x: (F.col(f"low{x}") != F.col("c")) | (F.col(f"high{x}") != F.col("c")) for x in sides}
     plain = F.call_function("shiftright", F.col("key"), F.lit(32)) % 64 == 0
     needed = F.when(plain, other[""]).when(F.col("bit") == 0, other["1"]).otherwise(other["0"])
-    rows = rows.join(mixed, "key").filter(needed).select("key", "u", "bit", "c", "n").withColumn("own", F.pmod(F.xxhash64("u"), F.col("n")))
+    rows = rows.filter(needed).withColumn("own", F.pmod(F.xxhash64("u"), F.col("n")))
+    rows = rows.groupBy("u", "c").agg(F.collect_list(F.struct("key", "bit", "n", "own")).alias("at"))
+    rows = rows.join(units.drop("c"), "u").select("c", *names, F.inline("at"))
     # Most buckets are one block; the rows of others go to each two blocks that have them.
     several = rows.filter("n > 1").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    rows = rows.filter("n = 1").withColumn("with", F.lit(0).cast("long")).union(several)
-    rows = rows.select("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "bit", "c", "u").join(units, "u").select("key", "x", "y", "own", "bit", "c", "u", *names)
+    rows = rows.filter("n = 1").withColumn("with", F.lit(0).cast("long")).unionByName(several)
+    rows = rows.select("key", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "own", "bit", "c", *names)
     group = ["key", "x", "y"]
 
     def run(batches):
-        held = np.empty((0, 7 + LONGS), dtype=np.int64)
+        held = np.empty((0, 6 + LONGS), dtype=np.int64)
         for batch in batches:
             held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
             cuts = [0, *(np.flatnonzero((held[1:, :3] != held[:-1, :3]).any(axis=1)) + 1).tolist()]
@@ -309,9 +364,9 @@ def _unlinked(met: DataFrame, units: DataFrame, names: list[str], roots: DataFra
 
 
 def _joining(rows: np.ndarray) -> list[tuple[int, int]]:
-    """Links that join the components of two blocks of a bucket; rows are (key, block, block, own block, bit, component, u, fingerprint)."""
+    """Links that join the components of two blocks of a bucket; rows are (key, block, block, own block, bit, component, fingerprint)."""
     key, x, y = rows[0, :3].tolist()
-    own, bit, u, fps = rows[:, 3], rows[:, 4], rows[:, 6], rows[:, 7:].view(np.uint64)
+    own, bit, fps = rows[:, 3], rows[:, 4], rows[:, 6:].view(np.uint64)
     names, c = np.unique(rows[:, 5], return_inverse=True)
     if len(names) < 2:
         return []
@@ -337,7 +392,7 @@ def _joining(rows: np.ndarray) -> list[tuple[int, int]]:
             a, b = top(int(c[i[k] + at])), top(int(c[j[k] + at]))
             if a != b:
                 root[a] = b
-                out.append((int(u[i[k] + at]), int(u[j[k] + at])))
+                out.append((int(names[c[i[k] + at]]), int(names[c[j[k] + at]])))
     return out
 
 
