@@ -32,4 +32,4 @@ def test_query(spark, name):
 
 def test_every_query_has_sql_or_is_beyond_it():
     beyond = set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)
-    assert beyond == {"group_split", "raster_patches", "raster_connectivity", "cnn_embeddings", "boosted_trees", "embeddings_joined"}
+    assert beyond == {"raster_patches", "raster_connectivity", "cnn_embeddings", "boosted_trees", "embeddings_joined"}

@@ -7,6 +7,7 @@ import logging
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +49,13 @@ def couple(spark: SparkSession, path: str, threshold: int, connectivity: int, ma
 
 
 def enrich(df: DataFrame, networks: dict[str, network.Network], direction_m: float = 500.0) -> DataFrame:
-    """Pairs with the geometric features of the networks that are known; other basins get the flag missing_stream."""
+    """Pairs with the geometric features of the networks that are known, all basins in one plan; other basins get the flag missing_stream."""
     out = labels.clean_pairs(df)
-    spark = df.sparkSession
-    known = spark.createDataFrame([(b,) for b in networks], "basin string")
-    for basin, net in networks.items():
-        rows = out.filter(F.col("basin") == basin)
+    known = df.sparkSession.createDataFrame([(b,) for b in networks], "basin string")
+    if networks:
+        parts = [network.Network(*[t.withColumn("basin", F.lit(basin)) for t in (net.nodes, net.edges)]) for basin, net in networks.items()]
+        net = network.Network(*[reduce(DataFrame.unionByName, tables) for tables in ([p.nodes for p in parts], [p.edges for p in parts])])
+        rows = out.join(F.broadcast(known), "basin", "left_semi")  # a row for each basin that was asked for
         made = geometry.evaluate_geometry(rows, net, network.strahler_orders(net), rows if "L_1" in out.columns else None, direction_m=direction_m)
         out = labels.update_from(out, made, [*geometry.FEATURES, "qc_flags"])
     return labels.mark_missing_stream(out, known)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def hashed(seed: int, *columns: str) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
+    """The first 48 bits of the MD5 of the seed and the columns joined by |; NULL counts as empty."""
+    text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
 def sample_per_group(df: DataFrame, group: str, k: int, ids: list[str], seed: int = 42, order: list | None = None) -> DataFrame:
@@ -21,9 +23,8 @@ def sample_rows(df: DataFrame, k: int, ids: list[str], seed: int = 42) -> DataFr
 
 
 def group_split(df: DataFrame, groups: list[str], test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """is_test, the same for all rows of a group (its key is the groups' values joined by two underscores)."""
-    key = F.concat_ws("__", *groups)
-    return df.withColumn("is_test", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000)) < int(test_share * 1_000_000))
+    """is_test, the same for all rows of a group."""
+    return df.withColumn("is_test", F.pmod(hashed(seed, *groups), F.lit(1_000_000)) < int(test_share * 1_000_000))
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
@@ -37,7 +38,7 @@ def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
 
 def stratified_folds(df: DataFrame, label: str, ids: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     """fold 0 .. k - 1 by a hash, so that each label is spread evenly in expectation without any sort."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), F.col(label), *[F.col(c) for c in ids]), F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.pmod(hashed(seed, label, *ids), F.lit(k)).cast("int"))
 
 
 def hold_out(df: DataFrame, column: str, value) -> tuple[DataFrame, DataFrame]:

@@ -118,12 +118,42 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.group_folds(rows, "c_nationkey").groupBy("c_nationkey", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+def _hash(*columns: str) -> str:
+    """What sampling.hashed computes with its default seed."""
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f"CAST('0x' || substr(md5(concat_ws('|', 42, {text})), 1, 12) AS BIGINT)"
+
+
+@query(f"SELECT c_mktsegment, c_nationkey, {_hash('c_mktsegment', 'c_nationkey')} % 1000000 < 200000 AS is_test, count(*) AS n FROM customer GROUP BY 1, 2, 3")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment", "c_nationkey")
     return sampling.group_split(rows, ["c_mktsegment", "c_nationkey"]).groupBy("c_mktsegment", "c_nationkey", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT c_mktsegment, CAST({_hash('c_mktsegment', 'c_custkey')} % 5 AS INT) AS fold, count(*) AS n FROM customer GROUP BY 1, 2")
+def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_mktsegment", "c_custkey")
+    return sampling.stratified_folds(rows, "c_mktsegment", ["c_custkey"]).groupBy("c_mktsegment", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT c_custkey, {_hash('c_custkey')} % 1000000 < 150000 AS is_validation FROM customer")
+def permutation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    return sampling.permutation_split(rows, ["c_custkey"], 0.15)
+
+
+@query(f"SELECT c_custkey FROM customer ORDER BY {_hash('c_custkey')}, c_custkey LIMIT 100")
+def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_rows(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), 100, ["c_custkey"])
+
+
+@query("SELECT o_orderstatus, o_orderstatus = 'F' AS held_out, count(*) AS n FROM orders GROUP BY 1, 2")
+def held_out_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rest, held = sampling.hold_out(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderstatus"), "o_orderstatus", "F")
+    both = rest.withColumn("held_out", F.lit(False)).union(held.withColumn("held_out", F.lit(True)))
+    return both.groupBy("o_orderstatus", "held_out").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- a deep tree with a closed form: part k drains to k // 2
 
 
@@ -194,3 +224,9 @@ def embeddings_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Pairs(spark, sf_dir)
     images = materialize(raster.patches(p.pairs, p.t.net, 32, p.ways))
     return labels.merge_embeddings(p.coupling(), cnn.extract_embeddings(images, cnn.initial_weights())).select(*KEYS, "touching", *[f"emb_{i}" for i in range(4)])
+
+
+@query("SELECT count(*) FILTER (o_orderstatus <> 'F') AS n_done, count(*) FILTER (o_orderstatus = 'F') AS n_failed, CAST(coalesce(sum(o_custkey) FILTER (o_orderstatus <> 'F'), 0) AS BIGINT) AS n_pairs FROM orders")
+def run_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_custkey")
+    return stats.failures(rows.select(F.col("o_orderkey").alias("basin"), F.when(F.col("o_orderstatus") == "F", "failed").alias("error"), F.col("o_custkey").alias("n_pairs")))

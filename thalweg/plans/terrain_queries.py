@@ -420,8 +420,70 @@ def cropped_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_cells"), F.min("z").alias("z_min")))
 
 
-@query([S.CELLS], "SELECT basin, r, " + ", ".join(f"round({x}, 6) AS {n}" for n, x in (("mpd", "sqrt(111320.0 * cos(radians(abs(23.5 + r / 10.0))) * 110540.0)"), ("az", "degrees(atan2(r - 60.5, 30.25)) + CASE WHEN r < 60.5 THEN 360.0 ELSE 0.0 END"), ("dl", "CASE WHEN r = 0 THEN 0.0 ELSE 2.0 * abs(r - 2.0 * r) / (r + 2.0 * r) END"))) + ", CAST(round_even(r / 2.0, 0) AS BIGINT) AS half FROM cells WHERE c = 0")
+@query([S.CELLS], "SELECT basin, cell_id, " + ", ".join(f"round({x}, 6) AS {n}" for n, x in (("mpd", "sqrt(111320.0 * cos(radians(abs(23.5 + r / 10.0))) * 110540.0)"), ("az", "degrees(atan2(r - 60.5, 30.25)) + CASE WHEN r < 60.5 THEN 360.0 ELSE 0.0 END"), ("dl", "CASE WHEN r = 0 THEN 0.0 ELSE 2.0 * abs(r - 2.0 * r) / (r + 2.0 * r) END"))) + ", CAST(round_even(r / 2.0, 0) AS BIGINT) AS half FROM cells")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("r").cast("double")
-    cells = terrain_cells(spark, sf_dir).filter("c = 0")
-    return _rounded(cells.select("basin", "r", geo.meters_per_degree(F.lit(23.5) + r / 10.0).alias("mpd"), geo.azimuth(r - 60.5, F.lit(30.25)).alias("az"), geo.delta_l(r, 2.0 * r).alias("dl"), geo.round_even(r / 2.0).alias("half")))
+    return _rounded(terrain_cells(spark, sf_dir).select("basin", "cell_id", geo.meters_per_degree(F.lit(23.5) + r / 10.0).alias("mpd"), geo.azimuth(r - 60.5, F.lit(30.25)).alias("az"), geo.delta_l(r, 2.0 * r).alias("dl"), geo.round_even(r / 2.0).alias("half")))
+
+
+_LAT, _MPD = "(23.5 + r / 10.0)", "sqrt(111320.0 * cos(radians(abs(23.5 + r / 10.0))) * 110540.0)"
+
+
+@query([S.CELLS], f"""SELECT basin, cell_id, round(c / 100.0 * {_MPD}, 6) AS pixel_m, round(sqrt((3 - r) * (3 - r) + (4 - c) * (4 - c)), 6) AS dist,
+  round(CASE WHEN r > 0 OR c > 0 THEN degrees(acos(greatest(-1.0, least(1.0, (r + 2.0 * c) / (sqrt(r * r + c * c) * sqrt(5.0)))))) END, 4) AS angle,
+  CAST(CASE WHEN abs(r * 2.5 - c * 5.0) > 180 THEN 360.0 - abs(r * 2.5 - c * 5.0) ELSE abs(r * 2.5 - c * 5.0) END AS DOUBLE) AS turn,
+  round(CASE WHEN r > 0 OR c > 0 THEN r / sqrt(r * r + c * c) END, 6) AS ux, round(CASE WHEN r > 0 OR c > 0 THEN c / sqrt(r * r + c * c) END, 6) AS uy,
+  round(CASE WHEN greatest(r, c) > 0 THEN least(r, c) / greatest(r, c) END, 6) AS ratio,
+  round(CASE WHEN c < 10 THEN {_MPD} ELSE 1.0 END, 6) AS length_scale, round(CASE WHEN c < 10 THEN c / 10.0 * {_MPD} ELSE c / 10.0 END, 6) AS pixel_scale,
+  CAST(CASE WHEN c % 2 = 0 THEN r ELSE c END AS DOUBLE) AS cellsize,
+  round(CASE WHEN r + 1 = 60 AND c + 0.5 = 30 THEN 0.0 ELSE pi() - atan2(c + 0.5 - 30, r + 1 - 60) END, 6) AS upright,
+  round(60 + (r - 60) * cos(0.5) - (c - 30) * sin(0.5), 6) AS turned_r, round(30 + (r - 60) * sin(0.5) + (c - 30) * cos(0.5), 6) AS turned_c
+FROM (SELECT basin, cell_id, CAST(r AS DOUBLE) AS r, CAST(c AS DOUBLE) AS c FROM cells)""")
+def scalar_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r, c = F.col("r").cast("double"), F.col("c").cast("double")
+    lat, unit = F.lit(23.5) + r / 10.0, geo.unit_vector(r, c)
+    turned = geo.rotate(r, c, F.lit(60.0), F.lit(30.0), F.lit(0.5))
+    columns = {
+        "pixel_m": geo.pixel_size_meters(lat, c / 100.0), "dist": geo.distance(r, c, 3.0, 4.0), "angle": F.round(geo.angle_between(r, c, F.lit(1.0), F.lit(2.0)), 4),
+        "turn": geo.azimuth_difference(r * 2.5, c * 5.0), "ux": unit["x"], "uy": unit["y"], "ratio": geo.length_ratio(r, c), "length_scale": geo.asymmetry_scale(lat, c / 10.0),
+        "pixel_scale": geo.geometry_scale(lat, c / 10.0), "cellsize": geo.detect_cellsize(F.when(c % 2 == 0, -r), c),
+        "upright": geo.rotation_angle(r, c, r + 2.0, c + 1.0, F.lit(60.0), F.lit(30.0)), "turned_r": turned[0], "turned_c": turned[1],
+    }
+    return _rounded(terrain_cells(spark, sf_dir).select("basin", "cell_id", *[v.alias(k) for k, v in columns.items()]))
+
+
+# -- tables of pairs
+
+
+@query(S.LAYERS, "SELECT p.basin, p.outlet, p.confluence, p.head_1, p.head_2, round(a.delta_L, 6) AS delta_L, c.touching FROM pairs p JOIN asymmetry a USING (basin, outlet, confluence, head_1, head_2) JOIN coupling c USING (basin, outlet, confluence, head_1, head_2)")
+def inner_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pairs(spark, sf_dir)
+    return _rounded(labels.inner_pairs(p.asymmetry().select(*KEYS, "delta_L"), p.coupling().select(*KEYS, "touching")))
+
+
+@query(S.LAYERS, "SELECT basin, outlet, confluence, head_1, head_2, round(CASE WHEN confluence % 2 = 0 THEN L_1 + 1 ELSE L_1 END, 6) AS L_1, round(L_2, 6) AS L_2 FROM asymmetry")
+def pair_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = Pairs(spark, sf_dir).asymmetry().select(*KEYS, "L_1", "L_2")
+    new = old.withColumns({"L_1": F.when(F.col("confluence") % 2 == 0, F.col("L_1") + 1), "L_2": F.lit(None).cast("double")})
+    return _rounded(labels.update_from(old, new, ["L_1", "L_2"]))
+
+
+@query(S.LAYERS, "SELECT basin, outlet, confluence, head_1, head_2, round(L_1, 6) AS L_1, round(L_2, 6) AS L_2, '' AS qc_flags, CAST(NULL AS DOUBLE) AS apex_angle_deg FROM asymmetry")
+def clean_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with their heads the other way round and a column too many come out as they were."""
+    rows = Pairs(spark, sf_dir).asymmetry().select(*KEYS, "L_1", "L_2").withColumn("overlap_px", F.lit(0))
+    turned = rows.select("basin", "outlet", "confluence", F.col("head_2").alias("head_1"), F.col("head_1").alias("head_2"), F.col("L_2").alias("L_1"), F.col("L_1").alias("L_2"), "overlap_px")
+    return _rounded(labels.clean_pairs(turned).select(*KEYS, "L_1", "L_2", "qc_flags", "apex_angle_deg"))
+
+
+@query(S.TO_PAIRS, "SELECT basin, coalesce(arg_min(lat, (outlet, confluence, head_1, head_2)) FILTER (lat IS NOT NULL), 36.0) AS lat, 0.0::DOUBLE AS z_th FROM (SELECT *, CASE WHEN head_1 % 2 = 1 THEN head_1 / 100.0 END AS lat FROM pairs) GROUP BY 1")
+def basin_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = Pairs(spark, sf_dir).pairs
+    return labels.basin_settings(rows.withColumn("lat", F.when(F.col("head_1") % 2 == 1, F.col("head_1") / 100.0)))
+
+
+@query(S.TO_PAIRS, "SELECT basin, head_1, head_2, confluence, CASE WHEN basin IN (SELECT basin FROM nodes WHERE is_confluence AND node_id % 7 = 0) THEN 'short' ELSE 'short,missing_stream' END AS qc_flags FROM pairs")
+def missing_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = Pairs(spark, sf_dir)
+    known = p.t.net.nodes.filter("is_confluence and node_id % 7 = 0").select("basin")
+    return labels.mark_missing_stream(p.pairs.withColumn("qc_flags", F.lit("short")), known).select("basin", "head_1", "head_2", "confluence", "qc_flags")

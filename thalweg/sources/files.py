@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-import struct
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import geotiff
+
 CELL_SCHEMA = "path string, r long, c long, z double"
+#: Rows of a raster that a task hands over at a time.
+ROWS = 256
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -63,31 +66,17 @@ def list_rasters(spark: SparkSession, folder: str, suffix: str = "_strm_crop") -
 
 
 def decode_tiff(data: bytes) -> tuple[int, int, list[float]]:
-    """(rows, columns, values) of an uncompressed single-band TIFF in strips: integers or floats of 8 to 64 bits."""
-    end = {b"II": "<", b"MM": ">"}[data[:2]]
-    if struct.unpack(end + "H", data[2:4])[0] != 42:
-        raise ValueError("not a TIFF")
-    at = struct.unpack(end + "I", data[4:8])[0]
-    kinds, tags = {1: "B", 2: "s", 3: "H", 4: "I", 12: "d"}, {}
-    for i in range(struct.unpack(end + "H", data[at : at + 2])[0]):
-        entry = data[at + 2 + 12 * i : at + 14 + 12 * i]
-        tag, kind, count = struct.unpack(end + "HHI", entry[:8])
-        if kind in kinds and kind != 2:
-            form = f"{end}{count}{kinds[kind]}"
-            start = 8 if struct.calcsize(form) <= 4 else None
-            raw = entry[8 : 8 + struct.calcsize(form)] if start else data[(o := struct.unpack(end + "I", entry[8:12])[0]) : o + struct.calcsize(form)]
-            tags[tag] = struct.unpack(form, raw)
-    if tags.get(259, (1,))[0] != 1 or tags.get(277, (1,))[0] != 1:
-        raise ValueError("only uncompressed single-band rasters are read")
-    cols, rows, bits, form = tags[256][0], tags[257][0], tags[258][0], tags.get(339, (1,))[0]
-    code = {(1, 8): "B", (1, 16): "H", (1, 32): "I", (2, 8): "b", (2, 16): "h", (2, 32): "i", (3, 32): "f", (3, 64): "d"}[form, bits]
-    raw = b"".join(data[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
-    return rows, cols, list(struct.unpack(f"{end}{rows * cols}{code}", raw))
+    """(rows, columns, values) of a single-band TIFF."""
+    values = geotiff.decode(data).values
+    return *values.shape, values.ravel().tolist()
+
+
+def _tiffs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path).select("path", "content")
 
 
 def read_rasters(spark: SparkSession, path: str, nodata: float | None = None) -> DataFrame:
-    """cells(path, r, c, z) of rasters; NaN and the nodata value become NULL. A file is decoded by one task."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tif").load(path).select("path", "content")
+    """cells(path, r, c, z) of rasters; NaN and the nodata value, the file's own unless given, become NULL. A file is decoded by one task."""
 
     def run(batches):
         import numpy as np
@@ -95,12 +84,31 @@ def read_rasters(spark: SparkSession, path: str, nodata: float | None = None) ->
 
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows, cols, values = decode_tiff(bytes(content))
-                z = np.array(values, dtype=float)
-                z[z == nodata] = np.nan
-                yield pd.DataFrame({"path": name, "r": np.repeat(np.arange(rows), cols), "c": np.tile(np.arange(cols), rows), "z": z})
+                raster = geotiff.decode(bytes(content))
+                missing, cols = raster.nodata if nodata is None else nodata, raster.values.shape[1]
+                for r in range(0, len(raster.values), ROWS):
+                    z = raster.values[r : r + ROWS].astype(float)
+                    z[z == missing] = np.nan
+                    yield pd.DataFrame({"path": name, "r": np.repeat(np.arange(r, r + len(z)), cols), "c": np.tile(np.arange(cols), len(z)), "z": z.ravel()})
+
+    return _tiffs(spark, path).mapInPandas(run, CELL_SCHEMA).withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+
 
-    return files.mapInPandas(run, CELL_SCHEMA).withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+def raster_info(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n_rows, n_cols, a, b, x0, d, e, y0, cellsize, nodata) of rasters, a row for each file; NULL where a file does not say."""
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rasters = [geotiff.decode(bytes(c)) for c in pdf["content"]]
+            out = {"path": pdf["path"], "n_rows": [r.values.shape[0] for r in rasters], "n_cols": [r.values.shape[1] for r in rasters]}
+            for k, n in enumerate(("a", "b", "x0", "d", "e", "y0")):
+                out[n] = [r.transform[k] if r.transform else None for r in rasters]
+            yield pd.DataFrame(out | {"cellsize": [r.cellsize for r in rasters], "nodata": [r.nodata for r in rasters]})
+
+    schema = "path string, n_rows long, n_cols long, a double, b double, x0 double, d double, e double, y0 double, cellsize double, nodata double"
+    return _tiffs(spark, path).mapInPandas(run, schema)
 
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
