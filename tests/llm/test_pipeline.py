@@ -64,23 +64,36 @@ def components(ids, near):
     return group
 
 
-def test_near_copies(stages):
-    """By the similarity of their sets of five-word shingles: clear copies go, and what is far from all others stays."""
-    before, after = stages["simhash"]
-    sets = {r["doc_id"]: shingles(r["text"]) for r in before}
-    alike = lambda a, b: len(a & b) / len(a | b)
-    pairs = [(i, j, alike(sets[i], sets[j])) for i in sets for j in sets if i < j]
+def test_near_copies(spark, stages):
+    """By the similarity of their sets of five-word shingles: clear copies go, and what is far from all others stays.
+
+    The small table has no edited copies left at this stage, so some are planted.
+    """
+    before, stage_kept = stages["simhash"]
+    planted = []
+    for r in before:
+        words = r["text"].split()
+        if len(words) >= 80 and len(planted) < 40:
+            words[len(words) // 2] = "otherwise"
+            planted.append((10**6 + r["doc_id"], " ".join(words), *r[2:]))
+    rows = [tuple(r) for r in before] + planted
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, schema), SF).collect()}
+    sets = {i: shingles(text) for i, text, *_ in rows}
     near, far = {}, {}
-    for i, j, s in pairs:
-        if s >= 0.85:
-            near.setdefault(i, []).append(j)
-        if s >= 0.65:
-            far.setdefault(i, []).append(j)
+    for i in sets:
+        for j in sets:
+            if i < j:
+                s = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                if s >= 0.85:
+                    near.setdefault(i, []).append(j)
+                if s >= 0.65:
+                    far.setdefault(i, []).append(j)
     group, loose = components(sorted(sets), near), components(sorted(sets), far)
-    kept = {r["doc_id"] for r in after}
     copies = {i for i, g in group.items() if i != g}
-    assert copies and len(copies & kept) <= 0.02 * len(copies)
-    assert {min(i for i, g in loose.items() if g == x) for x in set(loose.values())} <= kept
+    assert len(planted) >= 20 and {i for i, *_ in planted} <= copies and len(copies & kept) <= 0.02 * len(copies)
+    apart = {g for g in loose.values()}
+    assert apart <= kept and apart & {r["doc_id"] for r in before} <= {r["doc_id"] for r in stage_kept}
 
 
 def test_benchmark_passages(spark, stages):
