@@ -267,3 +267,9 @@ def test_saved_models_and_reports(spark, tmp_path):
     assert len(ml.random_grid({"x": [1, 2, 3], "z": [1, 2]}, 4)) == 4
     runs = spark.createDataFrame([("a", None, 5), ("b", "no raster", None)], "basin string, error string, n_pairs int")
     assert tuple(stats.failures(runs).first()) == (1, 1, 5)
+
+
+def test_default_ratios_of_hard_negatives(spark):
+    rows = [("b", 1, 1, 1, 2, 1, 10.0), ("b", 1, 1, 3, 4, 0, 50.0), ("b", 1, 1, 5, 6, 0, 50.1)]
+    df = spark.createDataFrame(rows, "basin string, outlet long, confluence long, head_1 long, head_2 long, y int, headhead_dist_m double")
+    assert {r["head_1"] for r in labels.filter_hard_negatives(df).collect()} == {1, 3}
