@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .network import Network, paths
 
 KEYS = ["outlet", "confluence", "head_1", "head_2"]
+#: A confluence's heads are joined in blocks of about so many.
+HEADS_IN_BLOCK = 1024
 
 
 def normalise_pair(df: DataFrame, a: str = "head_1", b: str = "head_2") -> DataFrame:
@@ -28,13 +30,17 @@ def first_meet_pairs(net: Network, ways: DataFrame | None = None) -> DataFrame:
     """(basin, outlet, confluence, head_1, head_2): heads whose ways come together at a confluence through different branches.
 
     In a forest this is the pairs' lowest common node downstream. The join pairs heads within a confluence only, on
-    equal (basin, node); its size is the result's. A pair of a head with itself cannot arise.
+    equal (basin, node); its size is the result's. The heads of a large confluence are dealt to blocks, each of which
+    meets all of them, so none is left to one task. A pair of a head with itself cannot arise.
     """
     ways = head_paths(net) if ways is None else ways
     at = net.nodes.filter("is_confluence").select("basin", F.col("node_id").alias("node"))
     arriving = ways.filter(F.col("via").isNotNull()).join(at, ["basin", "node"], "left_semi").select("basin", "node", "head", "via")
-    other = arriving.toDF("basin", "node", "head_2", "via_2")
-    pairs = arriving.join(other, ["basin", "node"]).filter("head < head_2 and via <> via_2")
+    blocks = arriving.groupBy("basin", "node").agg(F.ceil(F.count(F.lit(1)) / HEADS_IN_BLOCK).cast("int").alias("blocks"))
+    arriving = arriving.join(blocks, ["basin", "node"])
+    dealt = arriving.select("basin", "node", "head", "via", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int").alias("block"))
+    other = arriving.select("basin", "node", F.col("head").alias("head_2"), F.col("via").alias("via_2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    pairs = dealt.join(other, ["basin", "node", "block"]).filter("head < head_2 and via <> via_2")
     ends = ways.groupBy("basin", "head").agg(F.max_by("node", "pos").alias("outlet"))
     return pairs.join(ends, ["basin", "head"]).select("basin", "outlet", F.col("node").alias("confluence"), F.col("head").alias("head_1"), "head_2").distinct()
 
