@@ -189,7 +189,7 @@ def line_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- patches and models: beyond SQL
 
 
-def _patches(spark: SparkSession, sf_dir: str, size: int = 32) -> DataFrame:
+def _patches(spark: SparkSession, sf_dir: str, size: int = 128) -> DataFrame:
     net = terrain(spark, sf_dir).net
     ways = materialize(pairs.head_paths(net))
     return raster.patches(materialize(pairs.first_meet_pairs(net, ways)), net, size, ways)
@@ -222,7 +222,7 @@ def boosted_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def embeddings_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = Pairs(spark, sf_dir)
-    images = materialize(raster.patches(p.pairs, p.t.net, 32, p.ways))
+    images = materialize(raster.patches(p.pairs, p.t.net, ways=p.ways))
     return labels.merge_embeddings(p.coupling(), cnn.extract_embeddings(images, cnn.initial_weights())).select(*KEYS, "touching", *[f"emb_{i}" for i in range(4)])
 
 
