@@ -126,3 +126,15 @@ def test_patches(spark):
     assert sum(n[f"n{k}"] for k in range(5)) == 128 * 128 and all(n[f"n{k}"] > 0 for k in range(5))
     flags = raster.branch_connected(images).first()
     assert flags["a_connected"] and flags["b_connected"]
+
+
+def test_blocks_and_tiles_change_nothing(spark, monkeypatch):
+    net, _, _ = build(spark, Y)
+    keys = raster.KEYS
+    found = rows(pairs.first_meet_pairs(net), *keys)
+    image = raster.patches(pairs.first_meet_pairs(net), net, 32).first()["pixels"]
+    monkeypatch.setattr(pairs, "HEADS_IN_BLOCK", 1)
+    monkeypatch.setattr(raster, "TILE", 2)
+    again = pairs.first_meet_pairs(net)
+    assert rows(again, *keys) == found and again.count() == len(found)
+    assert raster.patches(again, net, 32).first()["pixels"] == image
