@@ -128,10 +128,11 @@ def test_held_out_accuracy(spark, score, label, folds, held):
     assert len(tested) > 150 and np.mean(tested) > 0.97
 
 
-def test_held_out_labels_never_count(spark):
+@pytest.mark.parametrize(("score", "label", "folds", "held"), [(quality.quality_scores, "quality", 4, 2), (toxicity.toxicity_scores, "toxic", 3, 1)])
+def test_held_out_labels_never_count(spark, score, label, folds, held):
     docs, labels = labelled(spark)
-    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = ({r["doc_id"]: r["score"] for r in quality.quality_scores(docs, x).collect()} for x in (labels, turned))
+    turned = labels.withColumn(label, F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, 1 - F.col(label)).otherwise(F.col(label)))
+    a, b = ({r["doc_id"]: r["score"] for r in score(docs, x).collect()} for x in (labels, turned))
     assert a == b
 
 
@@ -149,6 +150,55 @@ def test_disguises_and_isotonic_levels():
     assert (np.diff(m) > 0).all() and (np.diff(p) > 0).all() and p[0] == 0
 
 
+def test_isotonic_levels_against_all_intervals():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5, 30, 60):
+        margin, y = rng.integers(0, max(2, n // 2), n).astype(float), rng.integers(0, 2, n)
+        at = np.unique(margin)
+        mean = lambda a, b: y[(margin >= at[a]) & (margin <= at[b])].mean()
+        wanted = [max(min(mean(a, b) for b in range(i, len(at))) for a in range(i + 1)) for i in range(len(at))]
+        m, p = toxicity.isotonic(margin, y)
+        block = np.abs(p[:, None] - np.array(wanted)[None]).argmin(axis=0)
+        assert np.allclose(p[block], wanted) and len(p) == len(set(np.round(wanted, 9))) and (np.diff(m) > 0).all()
+
+
+def test_lexicons_leave_their_part_out():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(0, 6))) for _ in range(120)]
+    y, part = np.array([int("aa" in x or rng.random() < 0.2) for x in texts]), np.arange(120) % toxicity.PARTS
+    found = toxicity.learn_lexicons(texts, y, part, odds=0.1)
+    for p in range(toxicity.PARTS + 1):
+        rows = [(set(x.split()), k) for x, k, own in zip(texts, y, part, strict=True) if own != p]
+        n, wanted = [sum(k == j for _, k in rows) for j in (0, 1)], {}
+        for w in {w for words, _ in rows for w in words}:
+            c = [sum(w in words and k == j for words, k in rows) for j in (0, 1)]
+            odds = np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1))
+            if c[1] >= toxicity.LEXICON_LEAST and odds >= 0.1:
+                wanted[w] = pytest.approx(odds)
+        assert found[p] == wanted and "aa" in wanted
+
+
+def test_the_first_split_against_a_plain_search():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 4)).round(1)
+    y = (x[:, 2] + rng.normal(size=300) > 0.4).astype(int)
+    model = toxicity.Trees(rounds=1, depth=1).fit(x, y)
+    p = 1 / (1 + np.exp(-model.base))
+    g, h, best = p - y, np.full(300, p * (1 - p)), (0.0, -1, 0.0)
+    for j in range(4):
+        for limit in np.unique(np.quantile(x[:, j], np.linspace(0, 1, model.bins + 1)[1:-1])):
+            low = x[:, j] <= limit
+            if min(h[low].sum(), h[~low].sum()) >= model.least:
+                gain = sum(g[s].sum() ** 2 / (h[s].sum() + model.ridge) for s in (low, ~low)) - g.sum() ** 2 / (h.sum() + model.ridge)
+                if gain > best[0] + 1e-9:
+                    best = (gain, j, limit)
+    (feature, limit, *_), *leaves = model.trees[0]
+    assert (feature, limit) == best[1:]
+    low = x[:, feature] <= limit
+    assert [v[-1] for v in leaves] == pytest.approx([-model.rate * g[s].sum() / (h[s].sum() + model.ridge) for s in (low, ~low)])
+    assert np.allclose(model.margins(x), model.base + np.where(low, leaves[0][-1], leaves[1][-1]))
+
+
 # -- chats
 
 

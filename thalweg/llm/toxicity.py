@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,6 +16,8 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Labelled training texts that are drawn to the driver at most.
 TRAIN_ROWS = 12_000
+#: Parts of the training texts; what is learned from the others tells a part's features and margins.
+PARTS = 4
 #: A learned lexicon holds so many words at most, each in so many toxic texts at least, with such log odds at least.
 LEXICON_WORDS, LEXICON_LEAST, LEXICON_ODDS = 20_000, 3, 2.5
 
@@ -35,15 +37,29 @@ def plain(chunk: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1", "".join(c for c in chunk.strip(_EDGE).translate(DISGUISE) if c.isalpha()))
 
 
-def learn_lexicon(texts: list[str], y: np.ndarray, words: int = LEXICON_WORDS, least: int = LEXICON_LEAST, odds: float = LEXICON_ODDS) -> dict[str, float]:
-    """word -> log odds of standing in a toxic text, of words that stand in `least` toxic texts and are telling enough."""
-    seen = (Counter(), Counter())
-    for text, label in zip(texts, y, strict=True):
-        seen[label].update(set(_WORD.findall(text.lower())))
-    n = [int((y == k).sum()) for k in (0, 1)]
-    scored = {w: float(np.log((c + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1))) for w, c in seen[1].items() if c >= least}
-    best = sorted((w for w in scored if scored[w] >= odds), key=lambda w: (-seen[1][w], w))[:words]
-    return {w: scored[w] for w in best}
+def learn_lexicons(texts: list[str], y: np.ndarray, part: np.ndarray, words: int = LEXICON_WORDS, least: int = LEXICON_LEAST, odds: float = LEXICON_ODDS) -> list[dict[str, float]]:
+    """word -> log odds of standing in a toxic text, of words that stand in `least` toxic texts and are telling enough.
+
+    One lexicon for each part, learned from the texts of all others, and last the one of all texts.
+    """
+    seen = tuple([Counter() for _ in range(PARTS)] for _ in (0, 1))
+    for text, label, p in zip(texts, y, part, strict=True):
+        if label:
+            seen[1][p].update(set(_WORD.findall(text.lower())))
+    total = sum(seen[1], Counter())
+    able = {w for w, c in total.items() if c >= least}  # others need no count in the many texts that are not toxic
+    for text, label, p in zip(texts, y, part, strict=True):
+        if not label:
+            seen[0][p].update(able.intersection(_WORD.findall(text.lower())))
+    counts, lexicons = (sum(seen[0], Counter()), total), []
+    for p in [*range(PARTS), PARTS]:
+        n = [int(((y == k) & (part != p)).sum()) for k in (0, 1)]
+        without = [seen[k][p] if p < PARTS else Counter() for k in (0, 1)]
+        c = {w: [counts[k][w] - without[k][w] for k in (0, 1)] for w in able}
+        scored = {w: float(np.log((c[w][1] + 0.5) / (n[1] + 1)) - np.log((c[w][0] + 0.5) / (n[0] + 1))) for w in able if c[w][1] >= least}
+        best = sorted((w for w in scored if scored[w] >= odds), key=lambda w: (-c[w][1], w))[:words]
+        lexicons.append({w: scored[w] for w in best})
+    return lexicons
 
 
 def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
@@ -152,11 +168,12 @@ class Trees:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: (margins, probabilities), both rising, to interpolate between."""
-    order = np.argsort(margin, kind="stable")
+    """Pooled adjacent violators: (margins, probabilities), both rising, to interpolate between; equal margins are one block."""
+    at, where, n = np.unique(margin, return_inverse=True, return_counts=True)
+    labels = np.bincount(where, y, len(at))
     blocks: list[list[float]] = []  # sum of labels, count, sum of margins
-    for m, label in zip(margin[order], y[order], strict=True):
-        blocks.append([float(label), 1.0, float(m)])
+    for m, label, count in zip(at, labels, n, strict=True):
+        blocks.append([float(label), float(count), float(m * count)])
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
@@ -178,14 +195,20 @@ class ToxicityModel:
 
 
 def fit_model(texts: list[str], y: np.ndarray, trees: Trees | None = None) -> ToxicityModel:
-    """A third of the texts teaches the lexicon, a third the trees, a third the calibration, so none grades itself."""
-    part = np.arange(len(texts)) % 3
-    pick = lambda k: [t for t, p in zip(texts, part, strict=True) if p == k]
-    lexicon = learn_lexicon(pick(0), y[part == 0])
-    x = [np.array([features(t, lexicon) for t in pick(k)]).reshape(-1, len(NAMES)) for k in (1, 2)]
-    model = (trees or Trees()).fit(x[0], y[part == 1])
-    margins, levels = isotonic(model.margins(x[1]), y[part == 2]) if len(set(y[part == 2].tolist())) == 2 else (np.zeros(0), np.zeros(0))
-    return ToxicityModel(lexicon, model, margins, levels)
+    """Lexicon and trees of all texts.
+
+    Cross-fitted, so that none grades itself: the trees learn from features by the lexicon of the other parts, and the
+    calibration from the margins of trees of the other parts.
+    """
+    part, unfitted = np.arange(len(texts)) % PARTS, trees or Trees()
+    lexicons = learn_lexicons(texts, y, part)
+    x = np.array([features(t, lexicons[p]) for t, p in zip(texts, part, strict=True)]).reshape(-1, len(NAMES))
+    margin = np.zeros(len(texts))
+    for p in range(PARTS):
+        others = part != p
+        margin[~others] = replace(unfitted, edges=[], trees=[]).fit(x[others], y[others]).margins(x[~others])
+    margins, levels = isotonic(margin, y) if len(set(y.tolist())) == 2 else (np.zeros(0), np.zeros(0))
+    return ToxicityModel(lexicons[-1], replace(unfitted, edges=[], trees=[]).fit(x, y), margins, levels)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
