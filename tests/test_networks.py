@@ -48,6 +48,20 @@ def test_touching_areas(spark, connectivity):
     assert rows(got, "touching", "contact_px", "size1_px", "size2_px", "skipped_prefilter") == {(True, 1, 5, 5, False)}
 
 
+def test_heads_by_linear_index(spark):
+    net, flow, ncols = build(spark, TOUCHING, by_cell=True)
+    found = pairs.first_meet_pairs(net).limit(1)
+    # (1, 2) is no node; it drains to (0, 1). (1, 3) drains to (0, 4).
+    cells = spark.createDataFrame([("b", 14, 14, 1 * ncols + 2, 1 * ncols + 3)], "basin string, outlet long, confluence long, head_1 long, head_2 long")
+    place = coupling.with_places(cells, net, ncols).first()
+    assert (place["r1"], place["c1"], place["r2"], place["c2"]) == (1, 2, 1, 3)
+    assert coupling.with_places(cells, net).count() == 0
+    r = coupling.evaluate_coupling(cells, net, flow, ncols, stream_filter=False).first()
+    assert (r["touching"], r["contact_px"], r["size1_px"], r["size2_px"]) == (True, 1, 1, 1)
+    both = coupling.evaluate_coupling(cells.union(found.select(cells.columns)), net, flow, ncols, stream_filter=False)
+    assert rows(both, "touching", "contact_px", "size1_px", "size2_px") == {(True, 1, 1, 1), (True, 1, 5, 5)}  # (1, 2) meets (1, 3) only
+
+
 def test_options_are_checked():
     for bad in ({"connectivity": 6}, {"threshold": 0}, {"prefilter_multiplier": -1.0}):
         with pytest.raises(ValueError):

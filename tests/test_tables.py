@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thalweg import cli
 from thalweg.functions import geo
-from thalweg.operators import cnn, grid, labels, sampling, stats
+from thalweg.operators import cnn, grid, labels, raster, sampling, stats
 from thalweg.sources import basins, files
 
 PAIR = "basin string, outlet long, confluence long, head_1 long, head_2 long, y int, L_1 double, L_2 double, headhead_dist_m double"
@@ -205,6 +205,40 @@ def test_saved_patches(spark, tmp_path):
     assert r["size"] == 4 and list(r["pixels"]) == a.ravel().tolist()
 
 
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_written_patches_are_read_again(spark, tmp_path, scheme):
+    keys = "basin string, outlet long, confluence long, head_1 long, head_2 long"
+    images = spark.createDataFrame([("b", 9, 5, 1, 2, 2, [0, 1, 2, 4]), ("c d", 9, 5, 1, 2, 2, [3, 3, 0, 0])], f"{keys}, size int, pixels array<tinyint>")
+    pairs = images.select("basin", "outlet", "confluence", "head_1", "head_2").union(spark.createDataFrame([("b", 9, 5, 1, 3)], keys))
+    for _ in range(2):  # once more changes nothing
+        made = files.patch_manifest(pairs, files.write_patches(images, f"{scheme}{tmp_path}"))
+        got = {(r["basin"], r["head_2"]): r["raster_path"] for r in made.collect()}
+    assert got == {("b", 2): f"{scheme}{tmp_path}/b/rasters/9_1_2.npy", ("c d", 2): f"{scheme}{tmp_path}/c d/rasters/9_1_2.npy", ("b", 3): None}
+    assert np.load(tmp_path / "b/rasters/9_1_2.npy").tolist() == [[0, 1], [2, 4]]
+    assert sorted(list(r["pixels"]) for r in files.read_patches(spark, str(tmp_path)).collect()) == [[0, 1, 2, 4], [3, 3, 0, 0]]
+    assert not list(tmp_path.glob("*/rasters/.[0-9a-f]*"))
+
+
+def test_missing_results(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        files.read_results(spark, str(tmp_path / "none.csv"), "x double")
+
+
+def test_broken_patches_and_target_correlations(spark):
+    seen = spark.createDataFrame([("a", True, True), ("a", False, True), ("b", True, False), ("b", False, False), ("a", True, True)], "basin string, a_connected boolean, b_connected boolean")
+    assert [tuple(r) for r in raster.broken_profile(seen).collect()] == [("b", 2, 2, 100.0), ("a", 3, 1, pytest.approx(100 / 3))]
+    df = spark.createDataFrame([(1.0, 3.0, 1.0, 0), (2.0, 1.0, None, 0), (3.0, 2.0, None, 1), (4.0, -9.0, 1.0, None)], "x double, z double, u double, y int")
+    got = stats.target_correlations(df, ["z", "u", "x"], "y").collect()
+    assert [r["column"] for r in got] == ["x", "z", "u"] and got[2]["corr"] is None
+    assert got[0]["corr"] == pytest.approx(np.corrcoef([1, 2, 3], [0, 0, 1])[0, 1])
+
+
+def test_basin_summary_with_configuration(spark):
+    pairs = spark.createDataFrame([("Inyo", True, 0.5), ("Inyo", False, 0.1), ("elsewhere", True, 0.2)], "basin string, touching boolean, delta_L double")
+    got = {r["basin"]: r for r in stats.basin_summary(pairs, pairs, basins.basin_config(spark)).collect()}
+    assert got["Inyo"]["config_num_pairs"] == 2419 and got["Inyo"]["n_pairs"] == 2 and got["elsewhere"]["config_lat"] is None
+
+
 def test_network_forward_and_training():
     rng = np.random.default_rng(0)
     patches = rng.integers(0, 5, (12, 16, 16))

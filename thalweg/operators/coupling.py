@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import explode_line
+from ..plans.materialize import materialize
 from .grid import offsets
-from .network import Network, head_cells
+from .network import Network, dependence, head_cells
 
 
 @dataclass(frozen=True)
@@ -27,13 +28,27 @@ class CouplingOptions:
             raise ValueError("threshold and multiplier must be positive")
 
 
-def with_places(pairs: DataFrame, net: Network) -> DataFrame:
-    """Row and column of both heads: r1, c1, r2, c2."""
+def with_places(pairs: DataFrame, net: Network, ncols: int | None = None) -> DataFrame:
+    """Row and column of both heads: r1, c1, r2, c2. With ncols, a head that is no node is a cell's linear index; without, its pair goes."""
     for k in "12":
-        pairs = pairs.join(net.nodes.select("basin", F.col("node_id").alias(f"head_{k}"), F.col("r").alias(f"r{k}"), F.col("c").alias(f"c{k}")), ["basin", f"head_{k}"])
+        places = net.nodes.select("basin", F.col("node_id").alias(f"head_{k}"), F.col("r").alias(f"r{k}"), F.col("c").alias(f"c{k}"))
+        pairs = pairs.join(places, ["basin", f"head_{k}"], "left" if ncols else "inner")
+        if ncols:
+            cell = {f"r{k}": F.floor(F.col(f"head_{k}") / ncols), f"c{k}": F.pmod(F.col(f"head_{k}"), F.lit(ncols))}
+            pairs = pairs.withColumns({x: F.coalesce(x, at) for x, at in cell.items()})
     return pairs
 
 
+def areas_of(pairs: DataFrame, net: Network, flow: DataFrame) -> DataFrame:
+    """(basin, head, cell_id): the cells that drain to each head of the pairs, among them cells that are no heads of the network."""
+    named = pairs.select("basin", F.explode(F.array("head_1", "head_2")).alias("cell_id")).distinct()
+    heads = net.nodes.filter("is_head").select("basin", F.col("node_id").alias("cell_id"))
+    others, areas = materialize(named.join(heads, ["basin", "cell_id"], "left_anti")), head_cells(net, flow)
+    if others.isEmpty():
+        return areas
+    return areas.union(dependence(others, flow).select("basin", F.col("seed").alias("head"), "cell_id"))
+
+
 def near_enough(options: CouplingOptions):
     dr, dc = F.col("r1") - F.col("r2"), F.col("c1") - F.col("c2")
     return F.sqrt((dr * dr + dc * dc).cast("double")) <= options.prefilter_multiplier * float(options.threshold) ** 0.5
@@ -66,14 +81,15 @@ def evaluate_coupling(pairs: DataFrame, net: Network, flow: DataFrame, ncols: in
     """basin, outlet, confluence, head_1, head_2, touching, contact_px, size1_px, size2_px, skipped_prefilter.
 
     A pair whose line crosses a stream is left out; one whose heads lie too far apart stays, untouching and with NULL
-    sizes. Either gate can be switched off. The gates come before the join of areas.
+    sizes. Either gate can be switched off. The gates come before the join of areas. A head that is no node of the network
+    is a cell's linear index.
     """
     options = options or CouplingOptions()
-    placed = with_places(pairs, net)
+    placed = with_places(pairs, net, ncols)
     if stream_filter:
         placed = placed.join(crossing_pairs(placed, net), ["basin", "head_1", "head_2"], "left_anti")
     judged = placed.withColumn("skipped_prefilter", ~near_enough(options) if prefilter else F.lit(False))
-    areas = head_cells(net, flow) if areas is None else areas
+    areas = areas_of(pairs, net, flow) if areas is None else areas
     touch = contacts(areas, ncols, options.connectivity, judged.filter("not skipped_prefilter"))
     size = areas.groupBy("basin", "head").agg(F.count(F.lit(1)).alias("size"))
     out = judged.join(touch, ["basin", "head_1", "head_2"], "left")

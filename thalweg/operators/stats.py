@@ -36,9 +36,13 @@ def coupling_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("n_not_touching", F.col("n_pairs") - F.col("n_touching"))
 
 
-def basin_summary(coupling: DataFrame, asymmetry: DataFrame) -> DataFrame:
-    """Pairs, touching share and the five numbers of delta_L of each basin."""
-    return coupling_summary(coupling, ["basin"]).join(five_numbers(asymmetry, "delta_L", ["basin"]), "basin", "left")
+def basin_summary(coupling: DataFrame, asymmetry: DataFrame, config: DataFrame | None = None) -> DataFrame:
+    """Pairs, touching share and the five numbers of delta_L of each basin; with config (name, ...), its columns too, as config_*."""
+    out = coupling_summary(coupling, ["basin"]).join(five_numbers(asymmetry, "delta_L", ["basin"]), "basin", "left")
+    if config is None:
+        return out
+    known = config.select(F.lower("name").alias("_name"), *[F.col(c).alias(f"config_{c}") for c in config.columns if c != "name"])
+    return out.join(known, F.lower("basin") == F.col("_name"), "left").drop("_name")
 
 
 def compare_experiments(df: DataFrame, experiment: str, column: str) -> DataFrame:
@@ -60,6 +64,13 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return wide.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])))
 
 
+def target_correlations(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """(column, corr) of each column with the target, the strongest of either sign first, unknown ones last."""
+    wide = df.agg(*[F.corr(F.when(F.col(target).isNotNull(), F.col(c).cast("double")), F.when(F.col(c).isNotNull(), F.col(target).cast("double"))).alias(f"c{i}") for i, c in enumerate(columns)])
+    long = wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.when(~F.isnan(f"c{i}"), F.col(f"c{i}")).alias("corr")) for i, c in enumerate(columns)])))
+    return long.orderBy(F.abs("corr").desc_nulls_last(), "column")
+
+
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """(bin, lo, hi, n, density) over the data's range; the last bin is closed."""
     span = df.agg(F.min(column).alias("a"), F.max(column).alias("b"), F.count(column).alias("total"))

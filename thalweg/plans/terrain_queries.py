@@ -336,6 +336,11 @@ def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stats.correlations(Pairs(spark, sf_dir).labelled(), ["y", "L_1", "headhead_dist_m"]))
 
 
+@query(S.ALL, "SELECT 'L_1' AS \"column\", round(corr(y, L_1), 6) AS corr FROM labelled UNION ALL SELECT 'headhead_dist_m', round(corr(y, headhead_dist_m), 6) FROM labelled UNION ALL SELECT 'L_2', round(corr(y, L_2), 6) FROM labelled")
+def target_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(stats.target_correlations(Pairs(spark, sf_dir).labelled(), ["L_1", "L_2", "headhead_dist_m"], "y"))
+
+
 @query([S.CELLS], """SELECT bin, round(a + (b - a) / 30 * bin, 6) AS lo, round(a + (b - a) / 30 * (bin + 1), 6) AS hi, coalesce(n, 0) AS n, round(coalesce(n, 0) / (total * ((b - a) / 30)), 6) AS density
 FROM (SELECT min(z) AS a, max(z) AS b, count(z) AS total FROM cells) CROSS JOIN (SELECT CAST(range AS INT) AS bin FROM range(30))
 LEFT JOIN (SELECT CAST(least(29, floor((z - a) / ((b - a) / 30))) AS INT) AS bin, count(*) AS n FROM cells, (SELECT min(z) AS a, max(z) AS b FROM cells) GROUP BY 1) USING (bin)""")

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.materialize import materialize
 from . import geotiff
 
 CELL_SCHEMA = "path string, r long, c long, z double"
@@ -15,8 +16,15 @@ ROWS = 256
 
 
 def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV of pairs under an explicit schema; NaN becomes NULL."""
-    df = spark.read.schema(schema).option("header", True).option("nanValue", "nan").csv(path)
+    """A CSV of pairs under an explicit schema; NaN becomes NULL. FileNotFoundError if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = spark.read.schema(schema).option("header", True).option("nanValue", "nan").csv(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(path) from e
     doubles = [c for c, t in df.dtypes if t in ("double", "float")]
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
 
@@ -128,8 +136,48 @@ def read_patches(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, size int, pixels array<tinyint>")
 
 
-def patch_manifest(pairs: DataFrame, images: DataFrame) -> DataFrame:
-    """Pairs with raster_path (basin/rasters/outlet_head_head.npy), NULL where no patch could be made."""
+PATCH_KEYS = "basin string, outlet long, confluence long, head_1 long, head_2 long"
+
+
+def write_patches(images: DataFrame, folder: str) -> DataFrame:
+    """Writes each patch to folder/basin/rasters/outlet_head_head.npy and returns (keys, raster_path) of what was written.
+
+    folder is a path or URI that all executors share. A file is written under another name and renamed, so a task that is
+    run again leaves whole files only.
+    """
+
+    def run(batches):
+        import io
+        import os
+        import uuid
+
+        import numpy as np
+        import pandas as pd
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        made = set()
+        for pdf in batches:
+            paths = []
+            for r in pdf.itertuples():
+                place = f"{r.basin}/rasters"
+                if place not in made:
+                    store.create_dir(f"{root}/{place}", recursive=True)
+                    made.add(place)
+                data, name = io.BytesIO(), f"{place}/{r.outlet}_{r.head_1}_{r.head_2}.npy"
+                np.save(data, np.asarray(r.pixels, dtype=np.uint8).reshape(r.size_, r.size_))
+                part = f"{root}/{place}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(data.getvalue())
+                store.move(part, f"{root}/{name}")
+                paths.append(os.path.join(folder, name))
+            yield pdf[["basin", "outlet", "confluence", "head_1", "head_2"]].assign(raster_path=paths)
+
+    rows = images.select("basin", "outlet", "confluence", "head_1", "head_2", F.col("size").alias("size_"), "pixels")
+    return materialize(rows.mapInPandas(run, f"{PATCH_KEYS}, raster_path string"))
+
+
+def patch_manifest(pairs: DataFrame, written: DataFrame) -> DataFrame:
+    """Pairs with the raster_path that write_patches gave, NULL where no patch could be made."""
     keys = ["basin", "outlet", "confluence", "head_1", "head_2"]
-    made = images.select(*keys, F.concat_ws("/", "basin", F.lit("rasters"), F.concat(F.concat_ws("_", "outlet", "head_1", "head_2"), F.lit(".npy"))).alias("raster_path"))
-    return pairs.join(made, keys, "left")
+    return pairs.join(written.select(*keys, "raster_path"), keys, "left")
