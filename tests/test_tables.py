@@ -307,3 +307,17 @@ def test_default_ratios_of_hard_negatives(spark):
     rows = [("b", 1, 1, 1, 2, 1, 10.0), ("b", 1, 1, 3, 4, 0, 50.0), ("b", 1, 1, 5, 6, 0, 50.1)]
     df = spark.createDataFrame(rows, "basin string, outlet long, confluence long, head_1 long, head_2 long, y int, headhead_dist_m double")
     assert {r["head_1"] for r in labels.filter_hard_negatives(df).collect()} == {1, 3}
+
+
+def test_windows_that_look_alike_are_convolved_once(monkeypatch):
+    """Stretched patches give the same features as the plain network, from few of their windows; noise does too."""
+    rng, done = np.random.default_rng(4), []
+    plain, w = cnn._block, cnn.initial_weights()
+    w |= {"bn2.gain": -w["bn2.gain"], "bn1.shift": w["bn1.shift"] + 0.3}
+    monkeypatch.setattr(cnn, "_block", lambda x, i, w: done.append(len(x)) or plain(x, i, w))
+    coarse = np.where(rng.random((6, 8, 8)) < 0.2, rng.integers(0, 5, (6, 8, 8)), 0)
+    for patches, most in ((coarse.repeat(16, axis=1).repeat(16, axis=2), 0.1), (rng.integers(-1, 6, (3, 19, 26)), 1.0)):
+        done.clear()
+        assert np.allclose(cnn.class_features(patches, w), cnn.pooled_features(cnn.one_hot(patches), w), atol=1e-5)
+        n, h, v = patches.shape
+        assert sum(done) <= most * n * sum((h >> i) * (v >> i) for i in (1, 2, 3))

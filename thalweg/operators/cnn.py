@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 CLASSES, CHANNELS = 5, (16, 32, 64)
 KEYS = ["basin", "outlet", "confluence", "head_1", "head_2"]
+#: Windows that are convolved in one go.
+WINDOWS = 4096
 
 
 def one_hot(patches: np.ndarray) -> np.ndarray:
@@ -56,8 +58,59 @@ def pooled_features(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
     return x.mean(axis=(2, 3))
 
 
+def _paired(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """Pairs of numbers below n, numbered from 0 on, equal ones alike; and how many there are."""
+    code = a.astype(np.int64) * n + b
+    if n * n <= 4 * code.size:
+        seen = np.zeros(n * n, dtype=bool)
+        seen[code.ravel()] = True
+        number = np.cumsum(seen) - 1
+        return number[code], int(number[-1]) + 1
+    found, number = np.unique(code, return_inverse=True)
+    return number.reshape(code.shape), len(found)
+
+
+def distinct_windows(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 4 x 4 surroundings of each 2 x 2 block of (images, h, w) numbers, numbered, and (k, 4, 4), each of them once; n is the padding."""
+    h, v = ids.shape[1] // 2, ids.shape[2] // 2
+    padded = np.pad(ids, ((0, 0), (1, 1), (1, 1)), constant_values=n)
+    x, k = _paired(padded[:, :, 0 : 2 * v + 2 : 2], padded[:, :, 1 : 2 * v + 2 : 2], n + 1)
+    x, k = _paired(x[:, :, :-1], x[:, :, 1:], k)
+    x, k = _paired(x[:, 0 : 2 * h + 2 : 2], x[:, 1 : 2 * h + 2 : 2], k)
+    x, k = _paired(x[:, :-1], x[:, 1:], k)
+    at = np.empty(k, dtype=np.int64)
+    at[x.ravel()] = np.arange(x.size)
+    image, r, c = (i[:, None, None] for i in np.unravel_index(at, x.shape))
+    return x, padded[image, 2 * r + np.arange(4)[:, None], 2 * c + np.arange(4)]
+
+
+def _block(x: np.ndarray, i: int, w: dict[str, np.ndarray]) -> np.ndarray:
+    """Block i of the network over windows (k, 4, 4, channels), each of which gives one place of its result: (k, channels)."""
+    weights = w[f"conv{i}.w"].transpose(2, 3, 1, 0).reshape(-1, len(w[f"conv{i}.w"]))
+    scale, out = w[f"bn{i}.gain"] / np.sqrt(w[f"bn{i}.var"] + 1e-5), None
+    for r in (0, 1):
+        for c in (0, 1):
+            y = x[:, r : r + 3, c : c + 3].reshape(len(x), len(weights)) @ weights + w[f"conv{i}.b"]
+            y = np.maximum(y * scale + (w[f"bn{i}.shift"] - w[f"bn{i}.mean"] * scale), 0)
+            out = y if out is None else np.maximum(out, y)
+    return out
+
+
+def class_features(patches: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
+    """pooled_features of one_hot(patches), up to rounding: each block is computed once for all places that look alike.
+
+    Patches are lines stretched over large areas, so few of their windows differ; where all do, it is the same work.
+    """
+    ids, values = np.where((patches >= 0) & (patches < CLASSES), patches, CLASSES), np.eye(CLASSES, dtype=np.float32)
+    for i in range(1, len(CHANNELS) + 1):
+        ids, windows = distinct_windows(ids, len(values))
+        padded = np.concatenate([values, np.zeros((1, values.shape[1]), dtype=np.float32)])
+        values = np.concatenate([_block(padded[windows[at : at + WINDOWS]], i, w) for at in range(0, max(len(windows), 1), WINDOWS)])
+    return values[ids].mean(axis=(1, 2))
+
+
 def embed(patches: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.maximum(pooled_features(one_hot(patches), w) @ w["embed.w"].T + w["embed.b"], 0)
+    return np.maximum(class_features(patches, w) @ w["embed.w"].T + w["embed.b"], 0)
 
 
 def logits(embedded: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
