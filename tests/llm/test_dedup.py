@@ -299,3 +299,26 @@ def test_dealing_takes_no_longer_with_more_parts():
     assert substring._levels(100_000)[0] == substring.FAN == 512
     cuts = substring._cuts(substring._part(hashes, substring.HASH_BITS, substring._levels(100_000)[0]))
     assert len(cuts) <= 512 and cuts[0][1] == 0 and cuts[-1][2] == len(hashes)
+
+
+def test_no_near_copy_is_lost(spark, monkeypatch):
+    """Where fingerprints link nothing, all pairs of a similarity of 0.8 or more are still linked, and no others; against brute force."""
+    monkeypatch.setattr(simhash, "WIDE_DISTANCE", -1)
+    rng, rows = random.Random(12), [(9000, "five words are one shingle"), (9001, "FIVE words  are one shingle"), (9002, "too short"), (9003, "too short"), (9004, ""), (9005, None)]
+    passage = [f"p{i}" for i in range(40)]
+    for g in range(40):
+        base = passage + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 200))]
+        for k in range(4):
+            rows.append((g * 10 + k, " ".join(base)))
+            for _ in range(rng.randrange(1, max(2, len(base) // 15))):
+                base[rng.randrange(len(base))] = f"e{rng.randrange(10**6)}"
+    sets = {i: {tuple(w[j : j + 5]) for w in [(t or "").lower().split()] for j in range(max(1, len(w) - 4))} for i, t in rows}
+    root, links = {i: i for i in sets}, 0
+    for i in sets:
+        for j in sets:
+            if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                links += sets[i] != sets[j]
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    assert links > 30 and len(set(root.values())) > 45
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, rows)).collect()} == root

@@ -233,7 +233,10 @@ def segments(width: int) -> int:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of all documents, linked at a similarity of about 0.8 or more, taken from fingerprints.
+    """(doc_id, component_id) of all documents, linked at a similarity of 0.8 or more, and of a bit less where fingerprints are near.
+
+    Fingerprints link most of them; then _exact_links adds each pair of different components whose sets of five-word
+    shingles have a similarity of 0.8 or more, so none of these is lost.
 
     Segments of the fingerprints are indexed as they are and with each bit deleted; the longer they are, in a larger
     table, the more of them there are, so a pair meets with the same probability at any size; see README for what is
@@ -254,11 +257,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches):
         cache = _Hashes()
         for batch in batches:
-            fps = np.array([wide_fingerprint(x.as_py(), cache) for x in batch.column(1)], dtype=np.int64).reshape(-1, LONGS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(LONGS)]], names=["doc_id", *names])
+            texts = [x.as_py() for x in batch.column(1)]
+            fps = np.array([wide_fingerprint(x, cache) for x in texts], dtype=np.int64).reshape(-1, LONGS)
+            sets = [shingles(x, cache) for x in texts]
+            of_set = [pa.array([_digest(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(LONGS)], *of_set], names=["doc_id", *names, "digest", "size"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
-    rows = checkpoint(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names)))
+    texts = rows.select("text")
+    rows = checkpoint(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in [*names, "digest", "size"])))
     units = checkpoint(_spread(rows.groupBy(*names).agg(F.min("doc_id").alias("u")), "u"))
     width = segment_width(units.count())
     slots = _segments(names, width, segments(width))
@@ -276,7 +283,129 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Documents of equal fingerprints hang on the smallest of them; its component's smallest one is the root.
     own = units.select(*names, F.coalesce("c", "u").alias("c"))
     linked = own.join(roots, own["c"] == roots["node"], "left").select(*names, F.coalesce("root", "c").alias("component_id"))
-    return rows.join(linked, names).select("doc_id", "component_id")
+    found = checkpoint(rows.join(linked, names).select("doc_id", "component_id", "digest", "size"))
+    roots = connected_components(_exact_links(texts, found))
+    joined = found.join(roots, found["component_id"] == roots["node"], "left")
+    return joined.select("doc_id", F.coalesce("root", "component_id").alias("component_id"))
+
+
+# -- the exact way for the rest
+
+#: Words of a shingle whose sets are compared, and the bits of a shingle's hash that are kept.
+SHINGLE, HASH_BITS = 5, 48
+
+
+def shingles(text: str | None, cache: _Hashes) -> np.ndarray:
+    """The sorted set of a text's five-word shingles, as hashes of 48 bits; a shorter text is one shingle, one without words has none."""
+    words = _words(text)
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    hashes = np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
+    n = max(1, len(words) - SHINGLE + 1)
+    x = np.full(n, min(len(words), SHINGLE), dtype=np.uint64)
+    for k in range(min(len(words), SHINGLE)):
+        x = (x ^ (x >> np.uint64(29))) * _FACTOR + hashes[k : k + n]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((x ^ (x >> np.uint64(27))) >> np.uint64(64 - HASH_BITS))
+
+
+def _digest(of: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(of.tobytes(), SEED)).astype(np.int64))
+
+
+def _shared_shingles(texts: DataFrame) -> DataFrame:
+    """(digest, df, token): of each distinct set the shingles that other rows have as well, and how many sets do.
+
+    Hashes go to the parts packed, six bytes each, in a row for each part and batch, not in one for each shingle.
+    """
+    parts = partitions(texts.sparkSession)
+
+    def pack(batches):
+        cache = _Hashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                sets = {_digest(x): x for x in (shingles(t.as_py(), cache) for t in batch.column(0).slice(at, 512)) if len(x)}
+                if not sets:
+                    continue
+                token = np.concatenate(list(sets.values()))
+                owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets.values()])
+                part = (token % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                token, owner = token[order], owner[order]
+                cuts = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+                digests, out = np.array(list(sets), dtype=np.int64), []
+                for k in range(parts):
+                    s, e = cuts[k], cuts[k + 1]
+                    if s < e:
+                        who, place = np.unique(owner[s:e], return_inverse=True)
+                        out.append((k, len(who), e - s, digests[who].tobytes() + place.astype(np.uint16).tobytes() + (token[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (token[s:e] >> np.uint64(32)).astype(np.uint16).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["part", "w", "n", "packed"])
+
+    def count(batches):
+        owners, tokens = [], []
+        for batch in batches:
+            for w, n, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                raw = packed.as_buffer()
+                owners.append(np.frombuffer(raw, np.int64, w)[np.frombuffer(raw, np.uint16, n, 8 * w)])
+                low, high = np.frombuffer(raw, np.uint32, n, 8 * w + 2 * n), np.frombuffer(raw, np.uint16, n, 8 * w + 6 * n)
+                tokens.append(low | high.astype(np.uint64) << np.uint64(32))
+        if not owners:
+            return
+        owner, token = np.concatenate(owners), np.concatenate(tokens)
+        del owners, tokens
+        _, place, n = np.unique(token, return_inverse=True, return_counts=True)
+        several = n[place] > 1
+        owner, token = owner[several], token[several]
+        order = np.lexsort((owner, token))
+        owner, token = owner[order], token[order]
+        new = np.ones(len(token), dtype=bool)  # copies of a set have been packed in several places
+        new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
+        owner, token = owner[new], token[new]
+        _, place, n = np.unique(token, return_inverse=True, return_counts=True)
+        for at in range(0, len(token), 100_000):
+            here = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(owner[here]), pa.array(n[place[here]]), pa.array(token[here].astype(np.int64))], ["digest", "df", "token"])
+
+    dealt = texts.mapInArrow(pack, "part int, w long, n long, packed binary").repartition(parts, "part")
+    return dealt.mapInArrow(count, "digest long, df long, token long").filter("df > 1")
+
+
+def _exact_links(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): components of found(component_id, digest, size) that have sets of a similarity of 0.8 or more, as many as join them.
+
+    Of a set's n shingles at least ceil(0.8 n) are in any such other; so two of them share one of their n - ceil(0.8 n) + 1
+    rarest. Sets with so many shingles of their own have no partner: few are left. Sets that share one of the rarest are
+    compared, first with the ends of each bucket, then, if not linked by that, all of different components.
+    """
+    # Equal sets are one, of any of their components; the others are linked to it.
+    sets = checkpoint(found.filter("size > 0").groupBy("digest", "size").agg(F.min("component_id").alias("c")))
+    links = found.join(sets.select("digest", "c"), "digest").filter("component_id <> c").select(F.col("component_id").alias("a"), F.col("c").alias("b")).distinct()
+    need = F.floor((4 * F.col("size") + 4) / 5)
+    held = _shared_shingles(texts).groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("of"))
+    held = checkpoint(held.join(sets, "digest").filter(F.size("of") >= need).select("digest", "c", "size", (F.size("of") - need + 1).cast("int").alias("first"), "of"))
+    tokens = held.select("digest", F.col("of.token").alias("of"))
+    index = checkpoint(held.select("digest", "c", "size", F.explode(F.slice("of", F.lit(1), F.col("first"))["token"]).alias("token")))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.filter("9 * least(x_size, y_size) >= 4 * (x_size + y_size)").distinct()
+        for k in "xy":
+            pairs = pairs.join(tokens.select(F.col("digest").alias(k), F.col("of").alias(f"{k}_of")), k)
+        both = F.size(F.array_intersect("x_of", "y_of"))
+        return pairs.filter(9 * both >= 4 * (F.col("x_size") + F.col("y_size"))).select("a", "b").distinct()
+
+    bucket = Window.partitionBy("token")
+    me = F.struct("c", "digest", "size")
+    ends = index.select("*", F.array(F.min(me).over(bucket), F.max(me).over(bucket)).alias("ends"))
+    ends = ends.select("digest", "c", "size", F.explode("ends").alias("o")).filter("c <> o.c")
+    links = links.union(alike(ends.select(F.col("digest").alias("x"), F.col("o.digest").alias("y"), F.col("size").alias("x_size"), F.col("o.size").alias("y_size"), F.col("c").alias("a"), F.col("o.c").alias("b"))))
+    links = checkpoint(links)
+    roots = connected_components(links)
+    rest = index.join(roots, index["c"] == roots["node"], "left").select("digest", "size", "token", F.coalesce("root", "c").alias("c"))
+    rest = rest.select("*", (F.min("c").over(bucket) != F.max("c").over(bucket)).alias("several")).filter("several").drop("several")
+    rest = checkpoint(rest)
+    sides = [rest.select("token", F.col("digest").alias(k), F.col("size").alias(f"{k}_size"), F.col("c").alias(n)) for k, n in (("x", "a"), ("y", "b"))]
+    pairs = sides[0].join(sides[1], "token").filter("a < b").drop("token")
+    return links.union(alike(pairs))
 
 
 def _segments(names: list[str], width: int, n: int) -> Column:
