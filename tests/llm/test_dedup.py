@@ -322,3 +322,24 @@ def test_no_near_copy_is_lost(spark, monkeypatch):
                 root = {k: a if r == b else r for k, r in root.items()}
     assert links > 30 and len(set(root.values())) > 45
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs(spark, rows)).collect()} == root
+
+
+def test_few_shingles_are_dealt_and_no_set_with_a_partner_is_passed_over(spark):
+    """Each part of the dealt shingles is a task's only one; sets that have a partner by brute force stay, most others go."""
+    rng, texts = random.Random(13), []
+    for g in range(60):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([4, 5, 6, 9, 14, 60, 300]))]
+        texts.append(" ".join(base))
+        if g % 2:
+            for _ in range(rng.randrange(1, 2 + len(base) // 30)):
+                base[rng.choice([0, rng.randrange(len(base))])] = f"e{rng.randrange(10**6)}"
+            texts += [" ".join(base), " ".join(base + [f"x{g}"]), " ".join(base)]
+    sets = {s.tobytes(): s for s in (simhash.shingles(t, simhash._Hashes()) for t in texts)}.values()
+    partner = {simhash._digest(a) for a in sets for b in sets if a is not b and 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))}
+    df = docs(spark, list(enumerate(texts)))
+    frame = spark.createDataFrame([(simhash._digest(s), len(s)) for s in sets], "digest long, size long")
+    left = {r["digest"] for r in simhash._promising(df, frame).collect()}
+    assert len(partner) > 20 and partner <= left and len(left) <= len(partner) + 25
+    dealt = simhash._dealt(df, whole=False).withColumn("at", F.spark_partition_id()).collect()
+    assert sum(r["n"] for r in dealt) <= 0.33 * simhash._dealt(df).agg(F.sum("n")).first()[0]
+    assert all(len({r["part"] for r in dealt if r["at"] == at}) == 1 for at in {r["at"] for r in dealt})

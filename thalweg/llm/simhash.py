@@ -264,7 +264,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(fps[:, k]) for k in range(LONGS)], *of_set], names=["doc_id", *names, "digest", "size"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
-    texts = rows.select("text")
+    texts = rows
     rows = checkpoint(rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in [*names, "digest", "size"])))
     units = checkpoint(_spread(rows.groupBy(*names).agg(F.min("doc_id").alias("u")), "u"))
     width = segment_width(units.count())
@@ -293,6 +293,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 #: Words of a shingle whose sets are compared, and the bits of a shingle's hash that are kept.
 SHINGLE, HASH_BITS = 5, 48
+#: Ids of so many texts at most are broadcast, so that other texts need not be moved; the texts of more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def shingles(text: str | None, cache: _Hashes) -> np.ndarray:
@@ -313,10 +315,25 @@ def _digest(of: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(of.tobytes(), SEED)).astype(np.int64))
 
 
-def _shared_shingles(texts: DataFrame) -> DataFrame:
-    """(digest, df, token): of each distinct set the shingles that other rows have as well, and how many sets do.
+def _need(n):
+    """Of a set of n shingles so many at least are in any set of a similarity of 0.8 or more, which has so many at least."""
+    return (4 * n + 4) // 5
 
-    Hashes go to the parts packed, six bytes each, in a row for each part and batch, not in one for each shingle.
+
+def _level(n):
+    return max(1, n // 10)
+
+
+def _prefix(n: int) -> int:
+    """So many of the smallest of a set's n shingles hold the _level(n) smallest of those that it shares with any such other."""
+    return n - _need(n) + _level(n)
+
+
+def _dealt(texts: DataFrame, whole: bool = True) -> DataFrame:
+    """(part, w, n, packed): n shingles of w sets that fall to a part, which is a partition of its own.
+
+    Hashes go to the parts packed, six bytes each, in a row for each part and batch, not in one for each shingle.  If not
+    whole, only the _prefix() smallest hashes of a set are dealt.
     """
     parts = partitions(texts.sparkSession)
 
@@ -325,6 +342,8 @@ def _shared_shingles(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 sets = {_digest(x): x for x in (shingles(t.as_py(), cache) for t in batch.column(0).slice(at, 512)) if len(x)}
+                if not whole:
+                    sets = {k: x[: _prefix(len(x))] for k, x in sets.items()}
                 if not sets:
                     continue
                 token = np.concatenate(list(sets.values()))
@@ -341,6 +360,13 @@ def _shared_shingles(texts: DataFrame) -> DataFrame:
                         out.append((k, len(who), e - s, digests[who].tobytes() + place.astype(np.uint16).tobytes() + (token[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (token[s:e] >> np.uint64(32)).astype(np.uint16).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.binary())], ["part", "w", "n", "packed"])
 
+    dealt = texts.select("text").mapInArrow(pack, "part int, w long, n long, packed binary")
+    return dealt.repartitionById(parts, "part")  # by a hash of the part several would meet in one task's memory
+
+
+def _shared_shingles(texts: DataFrame, whole: bool = True) -> DataFrame:
+    """(digest, df, token): of each distinct set the shingles that other sets have as well, and how many sets do; whole: see _dealt."""
+
     def count(batches):
         owners, tokens = [], []
         for batch in batches:
@@ -353,9 +379,15 @@ def _shared_shingles(texts: DataFrame) -> DataFrame:
             return
         owner, token = np.concatenate(owners), np.concatenate(tokens)
         del owners, tokens
-        _, place, n = np.unique(token, return_inverse=True, return_counts=True)
-        several = n[place] > 1
+        # Most hashes are of one set only: they go before anything else is made of them.
+        order = np.argsort(token)
+        token = token[order]
+        owner = owner[order]
+        several = np.zeros(len(token), dtype=bool)
+        several[1:] = token[1:] == token[:-1]
+        several[:-1] |= several[1:]
         owner, token = owner[several], token[several]
+        del order, several
         order = np.lexsort((owner, token))
         owner, token = owner[order], token[order]
         new = np.ones(len(token), dtype=bool)  # copies of a set have been packed in several places
@@ -366,22 +398,37 @@ def _shared_shingles(texts: DataFrame) -> DataFrame:
             here = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(owner[here]), pa.array(n[place[here]]), pa.array(token[here].astype(np.int64))], ["digest", "df", "token"])
 
-    dealt = texts.mapInArrow(pack, "part int, w long, n long, packed binary").repartition(parts, "part")
-    return dealt.mapInArrow(count, "digest long, df long, token long").filter("df > 1")
+    return _dealt(texts, whole).mapInArrow(count, "digest long, df long, token long").filter("df > 1")
+
+
+def _promising(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets(digest, size, ...) that may have one of a similarity of 0.8 or more, judged by a part of their shingles.
+
+    Two such sets have the smallest of their common shingles in the prefixes of both, as many as the _level of the smaller
+    one; so a set that shares fewer of its prefix with other prefixes has no partner.
+    """
+    n = _shared_shingles(texts, whole=False).groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    least = F.greatest(F.lit(1), F.floor(F.floor((4 * F.col("size") + 4) / 5) / 10))
+    return sets.join(n, "digest").filter(F.col("n") >= least).drop("n")
 
 
 def _exact_links(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b): components of found(component_id, digest, size) that have sets of a similarity of 0.8 or more, as many as join them.
+    """(a, b): components of found(doc_id, component_id, digest, size) that have sets of a similarity of 0.8 or more, as many as join them.
 
     Of a set's n shingles at least ceil(0.8 n) are in any such other; so two of them share one of their n - ceil(0.8 n) + 1
     rarest. Sets with so many shingles of their own have no partner: few are left. Sets that share one of the rarest are
     compared, first with the ends of each bucket, then, if not linked by that, all of different components.
+
+    All shingles are counted only for the sets that _promising leaves.
     """
     # Equal sets are one, of any of their components; the others are linked to it.
-    sets = checkpoint(found.filter("size > 0").groupBy("digest", "size").agg(F.min("component_id").alias("c")))
+    sets = checkpoint(found.filter("size > 0").groupBy("digest", "size").agg(F.min("component_id").alias("c"), F.min("doc_id").alias("d")))
     links = found.join(sets.select("digest", "c"), "digest").filter("component_id <> c").select(F.col("component_id").alias("a"), F.col("c").alias("b")).distinct()
     need = F.floor((4 * F.col("size") + 4) / 5)
-    held = _shared_shingles(texts).groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("of"))
+    sets = checkpoint(_promising(texts, sets))
+    ids = sets.select(F.col("d").alias("doc_id")).distinct()
+    left = texts.join(F.broadcast(ids) if sets.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    held = _shared_shingles(left).groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("of"))
     held = checkpoint(held.join(sets, "digest").filter(F.size("of") >= need).select("digest", "c", "size", (F.size("of") - need + 1).cast("int").alias("first"), "of"))
     tokens = held.select("digest", F.col("of.token").alias("of"))
     index = checkpoint(held.select("digest", "c", "size", F.explode(F.slice("of", F.lit(1), F.col("first"))["token"]).alias("token")))
