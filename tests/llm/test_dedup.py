@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import thalweg.llm.components
 from thalweg.llm import exact_dedup, simhash, substring
 from thalweg.llm.components import connected_components
 
@@ -127,6 +128,32 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    graphs = [[(int(x), int(y)) for x, y in rng.integers(-(2**40), 2**40, n)[rng.integers(0, n, (m, 2))]] for n, m in ((200, 90), (200, 250), (30, 400))]
+    graphs.append([(9, k) for k in range(9)] + [(k, 40 - k) for k in range(9, 20)])
+    for links in graphs:
+        near = {*links, *((b, a) for a, b in links)}
+        expected = {i: min(c) for c in union_find(sorted({x for pair in links for x in pair}), lambda a, b: (a, b) in near) for i in c if len(c) > 1}
+        for most in (1_000_000, 0):
+            monkeypatch.setattr(thalweg.llm.components, "ONE_TASK", most)
+            df = spark.createDataFrame([*links, (5, 5), (None, 1)], "a long, b long")
+            rows = connected_components(df).collect()
+            assert {r["node"]: r["root"] for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_few_links_take_few_tasks(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        assert connected_components(links).filter("root = 0").count() == 301
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("few links")]
+    assert 0 < sum(len(j.stageIds) for j in jobs) <= 20
+
+
 def test_near_copies(spark):
     base = " ".join(f"word{i}" for i in range(2000))
     rows = [(5, base), (3, base.replace("word77 ", "other ")), (4, base.upper()), (9, "something else entirely " * 3), (2, ""), (8, None), (None, base)]

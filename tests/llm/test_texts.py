@@ -561,3 +561,16 @@ def test_the_training_sample_is_bounded(spark):
     assert 30 < len(texts) <= 50 and len(y) == len(texts)  # one text for each id, the smallest
     few, _ = labelled_sample(df, labels, "quality", 4, 2, 1_000, train_bytes=600)
     assert 0 < len(few) and sum(map(len, few)) <= 600 and set(few) <= set(texts)
+
+
+def test_training_texts_stay_on_the_executors(spark, monkeypatch):
+    from thalweg.llm.labelled import labelled_sample
+
+    docs, labels = labelled(spark, 60)
+    texts, y = labelled_sample(docs, labels, "quality", quality.FOLDS, quality.HELD_OUT, quality.TRAIN_ROWS)
+    expected = quality.Ftrl().fit([quality.features(t, quality._Tokens()) for t in texts], y)
+    frame, taken = type(docs), []
+    monkeypatch.setattr(frame, "collect", lambda self, f=frame.collect: taken.append(self.columns) or f(self))
+    weights, bias = quality.fit_quality(docs, labels)
+    assert taken and not any("text" in columns for columns in taken)
+    assert np.array_equal(weights, expected[0]) and bias == expected[1] and np.any(weights)

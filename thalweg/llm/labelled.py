@@ -18,18 +18,29 @@ def remainder(doc_id, folds: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, train_bytes: int = TRAIN_BYTES) -> tuple[list[str], np.ndarray]:
-    """At most about `rows` whole texts, of train_bytes together, and their labels, drawn by a hash of doc_id, in the order of doc_id.
+    """labelled_rows, brought to the driver, as distinct() has them."""
+    return distinct([tuple(r) for r in labelled_rows(docs, labels, label, folds, held_out, rows, train_bytes).collect()])
+
+
+def distinct(rows: list[tuple]) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of rows (doc_id, y, text), in the order of doc_id. Repeated texts enter once, with the larger label."""
+    once: dict[str, int] = {}
+    for _, y, text in sorted(rows, key=lambda r: (r[0], r[2])):
+        once[text] = max(y, once.get(text, 0))
+    return list(once), np.fromiter(once.values(), dtype=np.int64, count=len(once))
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, train_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """(doc_id, y, text): at most about `rows` whole texts, of train_bytes together, and their labels, drawn by a hash of doc_id.
 
     Held-out rows (crc32(doc_id as text) mod folds = held_out), null ids, null labels and labels other than 0 and 1 never
-    enter.  The sample is drawn from all labels alike, so it represents any size; its bound keeps the driver's memory.
-    Of rows that share a doc_id the smallest text enters; texts that do not fit the bytes any more are passed over, in
-    the order of the hash.  Repeated texts enter once, with the larger label.
+    enter.  The sample is drawn from all labels alike, so it represents any size; its bound keeps the memory of whoever
+    takes it.  Of rows that share a doc_id the smallest text enters; texts that do not fit the bytes any more are passed
+    over, in the order of the hash.
     """
     train = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (remainder(F.col("doc_id"), folds) != held_out))
     total = train.count()
-    if not total:
-        return [], np.zeros(0, dtype=np.int64)
-    share = int(min(1.0, rows / total) * BUCKETS)
+    share = int(min(1.0, rows / max(1, total)) * BUCKETS)
     drawn = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)) < share).groupBy("doc_id").agg(F.max("y").alias("y"))
     texts = picked(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # as many as `rows`
@@ -42,7 +53,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     if len(out) < found.count():
         fitting = docs.sparkSession.createDataFrame([(i,) for i in out], found.select("doc_id").schema)
         found = found.join(F.broadcast(fitting), "doc_id", "left_semi")
-    once: dict[str, int] = {}
-    for r in sorted(found.select("doc_id", "y", "text").collect(), key=lambda r: (r["doc_id"], r["text"])):
-        once[r["text"]] = max(r["y"], once.get(r["text"], 0))
-    return list(once), np.fromiter(once.values(), dtype=np.int64, count=len(once))
+    return found.select("doc_id", "y", "text")

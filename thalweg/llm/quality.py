@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import numbered
-from .labelled import labelled_sample, remainder
+from .labelled import distinct, labelled_rows, remainder
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -122,9 +122,18 @@ def score(text: str | None, weights: np.ndarray, bias: float, cache: _Tokens, bi
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, train_rows: int = TRAIN_ROWS, model: Ftrl | None = None) -> tuple[np.ndarray, float]:
-    texts, y = labelled_sample(docs, labels, label, folds, held_out, train_rows)
-    model, cache = model or Ftrl(), _Tokens()
-    return model.fit([features(t, cache, model.bits) for t in texts], y)
+    """Weights and bias, fitted by one task of an executor: texts and features (tens of KB a row) take none of the driver's memory."""
+    model = model or Ftrl()
+
+    def run(batches):
+        texts, y = distinct([tuple(r.values()) for batch in batches for r in batch.to_pylist()])
+        cache = _Tokens()
+        weights, bias = model.fit([features(t, cache, model.bits) for t in texts], y)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
+
+    rows = labelled_rows(docs, labels, label, folds, held_out, train_rows)
+    fitted = rows.coalesce(1).mapInArrow(run, "weights binary, bias double").first()
+    return np.frombuffer(fitted["weights"], dtype=np.float32), fitted["bias"]
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
