@@ -370,3 +370,18 @@ def test_few_shingles_are_dealt_and_no_set_with_a_partner_is_passed_over(spark):
     dealt = simhash._dealt(df, whole=False).withColumn("at", F.spark_partition_id()).collect()
     assert sum(r["n"] for r in dealt) <= 0.33 * simhash._dealt(df).agg(F.sum("n")).first()[0]
     assert all(len({r["part"] for r in dealt if r["at"] == at}) == 1 for at in {r["at"] for r in dealt})
+
+
+def test_pairs_that_share_rare_shingles_take_a_row_once_and_only_if_they_may_be_alike(spark):
+    rng = np.random.default_rng(8)
+    hot, sets = list(range(1, 13)), {}
+    for d in range(60):  # they share twelve of the rarest shingles, and nothing else
+        sets[d] = hot + sorted(rng.integers(100, 2**47, 90).tolist())
+    sets[60] = sets[7][:-6] + [50, 51]
+    sets[61] = sets[60][:-1]
+    rows = [(d, 1000 + d, len(of), len(of) - (4 * len(of) + 4) // 5 + 1, [(2, t) for t in of]) for d, of in sets.items()]
+    held = spark.createDataFrame(rows, "digest long, c long, size long, first int, of array<struct<df: long, token: long>>")
+    held = held.withColumns(simhash._bitmap(F.col("of.token")))
+    rest = held.select("digest", "size", "c", F.explode(F.slice("of", F.lit(1), F.col("first"))["token"]).alias("token"))
+    got = sorted((r["x"], r["y"], r["a"], r["b"]) for r in simhash._candidates(rest, held).collect())
+    assert got == [(7, 60, 1007, 1060), (7, 61, 1007, 1061), (60, 61, 1060, 1061)]

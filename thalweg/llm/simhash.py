@@ -293,6 +293,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 #: Words of a shingle whose sets are compared, and the bits of a shingle's hash that are kept.
 SHINGLE, HASH_BITS = 5, 48
+#: Longs of the bitmaps by which pairs of sets are told apart before they are compared.
+BITMAP = 16
 #: Ids of so many texts at most are broadcast, so that other texts need not be moved; the texts of more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -417,7 +419,8 @@ def _exact_links(texts: DataFrame, found: DataFrame) -> DataFrame:
 
     Of a set's n shingles at least ceil(0.8 n) are in any such other; so two of them share one of their n - ceil(0.8 n) + 1
     rarest. Sets with so many shingles of their own have no partner: few are left. Sets that share one of the rarest are
-    compared, first with the ends of each bucket, then, if not linked by that, all of different components.
+    compared, first with the ends of each bucket, then, if not linked by that, all of different components whose bitmaps
+    of shingles allow it, once for the first of the rarest shingles that they share.
 
     All shingles are counted only for the sets that _promising leaves.
     """
@@ -429,7 +432,7 @@ def _exact_links(texts: DataFrame, found: DataFrame) -> DataFrame:
     ids = sets.select(F.col("d").alias("doc_id")).distinct()
     left = texts.join(F.broadcast(ids) if sets.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
     held = _shared_shingles(left).groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("of"))
-    held = checkpoint(held.join(sets, "digest").filter(F.size("of") >= need).select("digest", "c", "size", (F.size("of") - need + 1).cast("int").alias("first"), "of"))
+    held = checkpoint(held.join(sets, "digest").filter(F.size("of") >= need).select("digest", "c", "size", (F.size("of") - need + 1).cast("int").alias("first"), "of").withColumns(_bitmap(F.col("of.token"))))
     tokens = held.select("digest", F.col("of.token").alias("of"))
     index = checkpoint(held.select("digest", "c", "size", F.explode(F.slice("of", F.lit(1), F.col("first"))["token"]).alias("token")))
 
@@ -450,9 +453,36 @@ def _exact_links(texts: DataFrame, found: DataFrame) -> DataFrame:
     rest = index.join(roots, index["c"] == roots["node"], "left").select("digest", "size", "token", F.coalesce("root", "c").alias("c"))
     rest = rest.select("*", (F.min("c").over(bucket) != F.max("c").over(bucket)).alias("several")).filter("several").drop("several")
     rest = checkpoint(rest)
-    sides = [rest.select("token", F.col("digest").alias(k), F.col("size").alias(f"{k}_size"), F.col("c").alias(n)) for k, n in (("x", "a"), ("y", "b"))]
-    pairs = sides[0].join(sides[1], "token").filter("a < b").drop("token")
-    return links.union(alike(pairs))
+    return links.union(alike(_candidates(rest, held)))
+
+
+def _candidates(rest: DataFrame, held: DataFrame) -> DataFrame:
+    """(x, y, x_size, y_size, a, b): pairs of sets of rest(digest, size, token, c), of components a < b, that share a token and that bitmaps allow.
+
+    The conditions are the join's own: a pair takes a row only if its bitmaps allow a similarity of 0.8, and only at the
+    first of the rarest shingles that both have.
+    """
+    marks = [f"m{k}" for k in range(BITMAP)]
+    rest = rest.join(held.select("digest", F.size("of").alias("n"), F.slice("of", F.lit(1), F.col("first"))["token"].alias("rarest"), *marks), "digest")
+    sides = [rest.select(F.col("token").alias(f"{k}_token"), F.col("digest").alias(k), F.col("c").alias(c), *[F.col(x).alias(f"{k}_{x}") for x in ("size", "n", "rarest", *marks)]) for k, c in (("x", "a"), ("y", "b"))]
+
+    def enough(p: str, q: str) -> Column:
+        lacking = sum((F.bit_count(F.col(f"{p}_{m}").bitwiseAND(F.bitwise_not(f"{q}_{m}"))) for m in marks), F.lit(0))
+        return 9 * (F.col(f"{p}_n") - lacking) >= 4 * (F.col("x_size") + F.col("y_size"))
+
+    first = F.array_intersect("x_rarest", "y_rarest")[0] == F.col("x_token")
+    met = sides[0].join(sides[1], (F.col("x_token") == F.col("y_token")) & (F.col("a") < F.col("b")) & enough("x", "y") & enough("y", "x") & first)
+    return met.select("x", "y", "x_size", "y_size", "a", "b")
+
+
+def _bitmap(of: Column) -> dict[str, Column]:
+    """m0, m1, ...: BITMAP longs with a bit for each hash of a list. Each bit that another bitmap lacks is of a hash that its list lacks."""
+
+    def part(k: int) -> Column:
+        here = F.filter(of, lambda t: F.shiftright(t, 6) % BITMAP == k)
+        return F.aggregate(here, F.lit(0).cast("long"), lambda m, t: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (t % 64).cast("int"))))
+
+    return {f"m{k}": part(k) for k in range(BITMAP)}
 
 
 def _segments(names: list[str], width: int, n: int) -> Column:
